@@ -1,9 +1,10 @@
 """Queries of this subpackage and their SQL, where SQL can express them."""
 
-from gleanwork.llm import sharding, warc
+from gleanwork.llm import quality_rules, sharding, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_sharding": sharding.op5_sharding,
 }
 
