@@ -1,12 +1,13 @@
 """Queries of this subpackage and their SQL, where SQL can express them."""
 
-from gleanwork.llm import quality_classifier, quality_rules, sharding, toxicity, warc
+from gleanwork.llm import html_extract, quality_classifier, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_sharding": sharding.op5_sharding,
+    "op7_html_extraction": html_extract.op7_html_extraction,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
