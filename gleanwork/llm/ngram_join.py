@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanwork.llm import textbytes as tb
-from gleanwork.llm.components import components
+from gleanwork.llm.components import components, contract
 from gleanwork.llm.shared import materialise
 
 WIDTH = 5
@@ -270,7 +270,7 @@ def similarity_join(docs: DataFrame) -> DataFrame:
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = bands.join(shared, "band").join(classes.select("set_key", "sig"), "set_key")
     edges = materialise(_blocks(buckets, "members", BUCKET_BLOCK, "band").select("band", "one", "two", "block", "set_key", "sig").mapInArrow(_bucket_links, "a long, b long").distinct(), "ngram-edges")
-    clusters = components(edges)
+    clusters = components(contract(edges))  # a class has a neighbour in each of its bands' blocks at most
     members = clusters.withColumnRenamed("node", "set_key").join(clusters.groupBy("label").agg(F.count(F.lit(1)).alias("members")), "label")
     members = members.join(classes.select("set_key", "sig", "n_docs", "of"), "set_key")
     # one row of each class brings its text; the pair of keys keeps copies of one text apart
