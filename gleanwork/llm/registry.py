@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, where SQL can express them."""
 
-from gleanwork.llm import html_extract, ngram_join, quality_classifier, quality_rules, sharding, toxicity, warc
+from gleanwork.llm import decontaminate, html_extract, ngram_join, quality_classifier, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_sharding": sharding.op5_sharding,
     "op7_html_extraction": html_extract.op7_html_extraction,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
