@@ -2,9 +2,9 @@
 
 1. Five-word shingles of every document are hashed; positions whose shingle stands in some item are
    active. A window without one has similarity 0 to every item.
-2. For each length that items have, windows of that length start at active positions. Among windows
-   that hold the same active positions none is more similar to an item than the one that starts at
-   the first of them. A bound on the window's weights drops those that cannot reach the threshold.
+2. Windows have the lengths of items and start where a shingle of some item of that length stands.
+   A bound on what the window can share with items of its length drops those that cannot reach the
+   threshold.
 3. Each window and item has a 64-bit SimHash. It is cut into RADIUS + 1 blocks; two fingerprints
    within the radius agree in at least one, so an equi-join on length, block and value finds every
    pair within it.
@@ -88,34 +88,36 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius
     words match nothing, and items of 1 to 4 words match whole texts of that many words."""
     bench = items.select("item_id", shingles(F.col("text").cast("string")).alias("sh")).where(F.size("sh") > 0)
     bench = materialise(bench.withColumn("n", F.size("sh")), "bench-items")
-    known = bench.select("item_id", F.explode("sh").alias("h")).groupBy("h").agg(F.countDistinct("item_id").alias("items"))
-    known = materialise(known.select("h", (1 / (1 + F.log("items"))).alias("w")), "bench-shingles")
+    known = bench.select("item_id", "n", F.explode("sh").alias("h")).groupBy("h").agg(F.countDistinct("item_id").alias("items"), F.collect_set("n").alias("ns"))
+    known = materialise(known.select("h", (1 / (1 + F.log("items"))).alias("w"), "ns"), "bench-shingles")
     hint = F.broadcast if known.count() <= BROADCAST_ROWS else (lambda df: df)
     counted = bench.select("item_id", "n", F.explode("sh").alias("h")).groupBy("item_id", "n", "h").agg(F.count(F.lit(1)).alias("c")).join(known, "h")
     weighed = counted.groupBy("item_id", "n").agg(F.collect_list(F.struct("h", "w", "c")).alias("item_sh"), F.sum(F.col("w") * F.col("c")).alias("item_weight"))
     prints = bench.select("item_id", "n", once(F.col("sh"), simhash).alias("item_fp")).join(weighed, ["item_id", "n"])
     prints = materialise(prints.withColumnRenamed("n", "item_n"), "bench-prints")
-    lengths = [(r.item_n, r.least) for r in prints.groupBy("item_n").agg(F.min("item_weight").alias("least")).orderBy("item_n").collect()]  # one per length of items
+    lengths = {r.item_n: float(r.least) for r in prints.groupBy("item_n").agg(F.min("item_weight").alias("least")).collect()}  # one per length of items
     if not lengths:
         return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, similarity double, start long, n_windows long")
-    spans = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(float(least)).alias("least")) for n, least in lengths])
+    least = F.create_map(*[F.lit(x) for pair in lengths.items() for x in pair])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
     rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
     hashed = rows.select("row_key", shingles(F.col("text")).alias("sh")).withColumn("total", F.size("sh"))
     active = hashed.select("row_key", "total", F.posexplode("sh").alias("start", "h")).join(hint(known), "h")
-    active = active.groupBy("row_key", "start").agg(F.first("total").alias("total"), F.first("w").alias("w"))
-    reach = Window.partitionBy("row_key").orderBy("start").rangeBetween(0, lengths[-1][0] - 1)
-    active = active.withColumn("hits", F.collect_list(F.struct("start", "w")).over(reach))  # no more than the longest item has
-
-    def measure(s: Column) -> Column:
-        inside = F.filter("hits", lambda x: x["start"] < F.col("start") + s["n"])
-        sums = F.aggregate(inside, F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("w")), lambda acc, x: F.struct((acc["n"] + 1).alias("n"), (acc["w"] + x["w"]).alias("w")))
-        return F.struct(s["n"].alias("n"), s["least"].alias("least"), sums["w"].alias("on"), (F.least(s["n"], F.col("total") - F.col("start")) - sums["n"]).alias("off"))
-
-    # similarity is at most on / (off + item weight), as what is shared is at most on
-    could = F.filter(F.transform(spans, measure), lambda m: m["on"] >= threshold * (m["off"] + m["least"]) - 1e-9)
-    windows = active.select("row_key", "start", F.transform(could, lambda m: F.struct(m["n"].alias("n"), (m["on"] + m["off"]).alias("weight"))).alias("sizes")).where(F.size("sizes") > 0)
+    active = active.groupBy("row_key", "start").agg(F.first("total").alias("total"), F.first("w").alias("w"), F.first("ns").alias("ns"))
+    reach = Window.partitionBy("row_key").orderBy("start").rangeBetween(0, max(lengths) - 1)
+    active = active.withColumn("hits", F.collect_list(F.struct("start", "w", "ns")).over(reach))  # no more than the longest item has
+
+    def measure(n: Column) -> Column:
+        none = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("w"), F.lit(0.0).alias("on"))
+        add = lambda acc, x: F.struct((acc["n"] + 1).alias("n"), (acc["w"] + x["w"]).alias("w"), (acc["on"] + F.when(F.array_contains(x["ns"], n), x["w"]).otherwise(0.0)).alias("on"))
+        inside = F.aggregate(F.filter("hits", lambda x: x["start"] < F.col("start") + n), none, add)
+        weight = inside["w"] + F.least(n, F.col("total") - F.col("start")) - inside["n"]
+        return F.struct(n.alias("n"), weight.alias("weight"), inside["on"].alias("on"))
+
+    # what is shared is at most `on`, so the similarity is at most on / (weight + item - on)
+    could = F.filter(F.transform("ns", measure), lambda m: m["on"] * (1 + threshold) >= threshold * (m["weight"] + F.element_at(least, m["n"])) - 1e-9)
+    windows = active.select("row_key", "start", F.transform(could, lambda m: F.struct(m["n"].alias("n"), m["weight"].alias("weight"))).alias("sizes")).where(F.size("sizes") > 0)
     windows = materialise(windows.groupBy("row_key").agg(F.collect_list(F.struct("start", "sizes")).alias("windows")), "bench-windows")
 
     texts = rows.join(windows, "row_key").dropDuplicates(["row_key"])
