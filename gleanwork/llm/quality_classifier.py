@@ -111,7 +111,7 @@ def _counts_out(batches):
 
 def is_learnt() -> Column:
     """Rows whose labels may be learnt."""
-    return F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 != 0  # a null counts as held out
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:

@@ -1,8 +1,9 @@
 """Queries of this subpackage and their SQL, where SQL can express them."""
 
-from gleanwork.llm import decontaminate, html_extract, ngram_join, quality_classifier, quality_rules, sharding, toxicity, warc
+from gleanwork.llm import decontaminate, html_extract, ngram_join, pieces, quality_classifier, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_warc": warc.op2_warc,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_toxicity": toxicity.op4_toxicity,
