@@ -81,8 +81,9 @@ def blocks(fp: Column, radius: int = RADIUS) -> Column:
 
 
 def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """One row per document row with a passage and item: doc_id, item_id, similarity (of the best
-    window, to 6 places), start (its first word, from 0; the earliest of the best) and n_windows.
+    """One row per document row with a passage and item: row_key (xxhash64 of doc_id and text),
+    doc_id, item_id, similarity (of the best window, to 6 places), start (its first word, from 0;
+    the earliest of the best) and n_windows.
 
     Repeated rows of a document give one row. Null and empty texts hold nothing, items without
     words match nothing, and items of 1 to 4 words match whole texts of that many words."""
@@ -97,7 +98,7 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius
     prints = materialise(prints.withColumnRenamed("n", "item_n"), "bench-prints")
     lengths = {r.item_n: float(r.least) for r in prints.groupBy("item_n").agg(F.min("item_weight").alias("least")).collect()}  # one per length of items
     if not lengths:
-        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, similarity double, start long, n_windows long")
+        return docs.sparkSession.createDataFrame([], f"row_key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, similarity double, start long, n_windows long")
     least = F.create_map(*[F.lit(x) for pair in lengths.items() for x in pair])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
@@ -135,8 +136,8 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius
     verified = pairs.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.col("weight") + F.col("item_weight") - F.col("shared"))).where(F.col("similarity") >= threshold - 1e-9)
     best = F.max(F.struct(F.round("similarity", 6).alias("s"), (-F.col("start")).alias("at")))
     out = verified.groupBy("row_key", "item_id").agg(F.first("doc_id").alias("doc_id"), best.alias("best"), F.count(F.lit(1)).alias("n_windows"))
-    return out.select("doc_id", "item_id", F.col("best.s").alias("similarity"), (-F.col("best.at")).cast("long").alias("start"), "n_windows")
+    return out.select("row_key", "doc_id", "item_id", F.col("best.s").alias("similarity"), (-F.col("best.at")).cast("long").alias("start"), "n_windows")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return find(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row_key")

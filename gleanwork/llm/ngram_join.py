@@ -250,7 +250,8 @@ def _blocks(rows: DataFrame, size: str, block: int, *keys: str) -> DataFrame:
 
 
 def similarity_join(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): class_id, n_links, n_class_links, group_id.
+    """One row per row of ``docs`` (doc_id, text): doc_id, text_key (xxhash64 of the text),
+    class_id, n_links, n_class_links, group_id.
 
     class_id is the least doc_id of the rows with the same shingle set; n_links counts the other
     rows at a similarity of THRESHOLD or more, copies included; n_class_links counts linked
@@ -284,10 +285,11 @@ def similarity_join(docs: DataFrame) -> DataFrame:
     per_class = named.join(least, "label").select("set_key", "n_links", "n_class_links", "group_id")
     per_class = classes.select("set_key", "class_id", "n_docs").join(per_class, "set_key", "left")
     per_class = materialise(per_class, "ngram-classes")
-    out = sketches.select("doc_id", "set_key").join(per_class, "set_key", "left")
+    out = sketches.select("doc_id", "text_key", "set_key").join(per_class, "set_key", "left")
     links_of = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
         "doc_id",
+        "text_key",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce(links_of("n_links") + F.col("n_docs") - 1, F.lit(0)).alias("n_links"),
         links_of("n_class_links").alias("n_class_links"),
@@ -296,4 +298,15 @@ def similarity_join(docs: DataFrame) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return similarity_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names their group; of equal rows one. Rows without a
+    doc_id stay where no row of their group has one."""
+    keys = similarity_join(docs).where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    keys = materialise(keys, "ngram-kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.xxhash64("text") == F.col("_key"))
+    once = docs.join(keys.where("_n = 1"), same, "left_semi")
+    again = docs.join(keys.where("_n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])  # only rows that are repeated are shuffled for it
+    return once.unionByName(again)
