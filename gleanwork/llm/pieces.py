@@ -27,7 +27,7 @@ from gleanwork.llm import textbytes as tb
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Parts and pairs of pieces that a process remembers; the tables are emptied when full.
-KEPT_PARTS, KEPT_PAIRS = 800_000, 1_500_000
+KEPT_PARTS, KEPT_PAIRS = 250_000, 500_000
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Weight of a character without a piece, beyond the worst piece (of a unigram model).
@@ -283,7 +283,7 @@ def tokenize(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
         machine = compiled(sent.value)
         for batch in batches:
             buf, offs = tb.column(batch.column("text"))
-            for lo, hi, b, o in tb.pieces(buf, offs, 2 << 20):
+            for lo, hi, b, o in tb.pieces(buf, offs, 1 << 19):
                 raw = b.tobytes()
                 ids, bounds = machine.encode_all([raw[s:e].decode() for s, e in zip(o[:-1], o[1:], strict=True)])
                 back, ends = machine.decode_all(ids, bounds)

@@ -16,9 +16,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2**64
 #: Bytes hashed at once; texts are cut into pieces of about this size for the temporaries only.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bytes of text handled together by ``pieces``.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 def _powers(base: int, n: int) -> np.ndarray:
