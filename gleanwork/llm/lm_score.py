@@ -28,6 +28,8 @@ SLICES = 24
 WINDOWS = 60
 #: Tasks that average the partitions' parameters.
 AVERAGERS = 16
+#: Bytes of text scored side by side in a task.
+SCORED = 12 << 20
 #: Largest count that is told apart when the words to send are chosen.
 CAP = 1_000_000
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -56,11 +58,11 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         hs.append(tb.hashes(low, s, e))
         high = np.zeros(len(low) + 1, np.int64)
         np.cumsum(low >= 128, out=high[1:])
-        kinds.append(ENDING[low[e - 1]] * 2 + (high[e] > high[s]))
+        kinds.append((ENDING[low[e - 1]] * 2 + (high[e] > high[s])).astype(np.int8))
         counts.append(np.bincount(doc, minlength=hi - lo))
     sizes = np.concatenate(counts) + 1 if counts else np.ones(n, np.int64)
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    h, kind = np.full(ends[-1], END), np.zeros(ends[-1], np.int64)
+    h, kind = np.full(ends[-1], END), np.zeros(ends[-1], np.int8)
     word = np.ones(ends[-1], bool)
     word[ends[1:] - 1] = False
     if hs:
@@ -72,7 +74,7 @@ def _count(batches):
     for batch in batches:
         h, kind, _ = tokens(*tb.column(batch.column("text")))
         words, first, n = np.unique(h, return_index=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays([tb.as_long(words), pa.array(kind[first]), pa.array(n)], ["word", "kind", "n"])
+        yield pa.RecordBatch.from_arrays([tb.as_long(words), pa.array(kind[first].astype(np.int64)), pa.array(n)], ["word", "kind", "n"])
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -185,9 +187,9 @@ def learn(train: DataFrame, model: dict) -> dict:
 _FIELDS = "n_tokens long, n_known long, base double, score double, rest array<struct<word:long,n:long>>"
 
 
-def _scores(batch, m) -> list[pa.Array]:
+def _scores(buf: np.ndarray, offs: np.ndarray, m: dict) -> list[pa.Array]:
     p, k = m["params"], len(m["params"]["word_b"])
-    h, kind, offs = tokens(*tb.column(batch.column("text")))
+    h, kind, offs = tokens(buf, offs)
     number, n = m["words"].find(h, kind, k)
     size = len(offs) - 1
     doc = np.repeat(np.arange(size), np.diff(offs))
@@ -221,7 +223,9 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *_scores(batch, sent.value)], ["doc_id", "row", "n_tokens", "n_known", "base", "score", "rest"])
+            for lo, hi, buf, offs in tb.pieces(*tb.column(batch.column("text")), SCORED):
+                own = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "row")]
+                yield pa.RecordBatch.from_arrays([*own, *_scores(buf, offs, sent.value)], ["doc_id", "row", "n_tokens", "n_known", "base", "score", "rest"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     part = rows.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "text").mapInArrow(run, f"doc_id {kind}, row long, {_FIELDS}")
