@@ -106,7 +106,7 @@ class Words:
             hit = self.word[at] == some
             number[hit], n[hit] = self.number[at[hit]], self.n[at[hit]]
         number = number[back]
-        return np.where(number >= 0, number, k + kind), n[back]
+        return np.where(number >= 0, number, k + kind.astype(np.int64)), n[back]
 
 
 def prepare(counts: DataFrame) -> dict:
