@@ -93,14 +93,9 @@ def fragment(query: Query, text: str | None, size: int = FRAGMENT) -> str | None
 
 def with_highlights(page: DataFrame, query: Query) -> DataFrame:
     """Add file_name_highlight and content_highlight to a page of results (k rows at most)."""
-    import pandas as pd
 
     def per(fn: Callable[[Query, str | None], str | None]):
-        @F.pandas_udf(ST.StringType())
-        def run(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: fn(query, t))
-
-        return run
+        return F.pandas_udf(lambda texts: texts.map(lambda t: fn(query, t)), ST.StringType(), F.PandasUDFType.SCALAR)
 
     return page.withColumns({"file_name_highlight": per(whole)("file_name"), "content_highlight": per(fragment)("content")})
 

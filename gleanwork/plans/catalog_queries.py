@@ -393,7 +393,7 @@ def search_topk(spark, sf):
     return _topk(plan(spark, sf, "the AND to"))
 
 
-_BYTE_NORM = "(floor(power(2, -log2(sqrt(len)) - floor(-log2(sqrt(len)) + 1e-12)) * 8 + 1e-9) / 8 * power(2, floor(-log2(sqrt(len)) + 1e-12)))"
+_BYTE_NORM = "(floor(power(2, -log2(sqrt(len)) - floor(-log2(sqrt(len)) + 1e-12)) * 4 + 1e-9) / 4 * power(2, floor(-log2(sqrt(len)) + 1e-12)))"
 
 
 @query(_topk_sql(["the", "and"], weight=f"sum(sqrt(tf) * power(1 + ln(n / (df + 1)), 2) * {_BYTE_NORM})"))

@@ -56,12 +56,10 @@ def term_filter(query: Query) -> Column:
 
 
 def byte_norm(length: Column) -> Column:
-    """1/sqrt(length) in the 8-bit floating point format with 3 bits of mantissa and zero exponent 15.
-
-    A float's bits without the low 21, less 384, is the byte; bytes cut off what they can't hold."""
+    """1/sqrt(length), cut off to a byte's floating point number: four steps for each power of two."""
     x = (F.lit(1.0) / F.sqrt(F.greatest(length, F.lit(1)).cast("double"))).cast("float").cast("double")
     exponent = F.floor(F.log2(x) + 1e-12)
-    mantissa = F.floor((x / F.pow(F.lit(2.0), exponent)) * 8 + 1e-9) / 8
+    mantissa = F.floor((x / F.pow(F.lit(2.0), exponent)) * 4 + 1e-9) / 4
     return mantissa * F.pow(F.lit(2.0), exponent)
 
 
