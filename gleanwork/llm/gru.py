@@ -189,16 +189,16 @@ class Learner:
             self._move(name, grad.astype(np.float32))
         return h, float(loss)
 
-    def learn(self, words: np.ndarray, least: int) -> tuple[int, float]:
+    def learn(self, words: np.ndarray, least: int, passes: int) -> tuple[int, float]:
         """Learn a run of texts (each closed by the end word) cut into streams, again until there
-        were ``least`` windows. Returns tokens learnt and the last pass's loss per token."""
+        were ``least`` windows or ``passes`` passes. Returns tokens learnt and the last pass's loss per token."""
         streams = max(1, min(STREAMS, len(words) // (2 * STEPS)))
         n = (len(words) - 1) // streams
         if n < 1:
             return 0, 0.0
         x, y = words[: n * streams].reshape(streams, n).T, words[1 : n * streams + 1].reshape(streams, n).T
         done, seen, loss = 0, 0, 0.0
-        while done < least or not seen:
+        while not seen or done < least and seen < passes * n * streams:
             h, loss = np.zeros((streams, HIDDEN), np.float32), 0.0
             for lo in range(0, n, STEPS):
                 h, one = self.window(x[lo : lo + STEPS], y[lo : lo + STEPS], h)

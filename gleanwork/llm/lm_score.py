@@ -24,8 +24,9 @@ SENT = 1 << 19
 ROUNDS = 3
 #: Each round learns from one slice of this many of the training documents.
 SLICES = 24
-#: Windows that a partition learns in each round at least, going over its texts again where they are few.
-WINDOWS = 60
+#: Windows that a partition learns in each round at least, going over its texts again where they are
+#: few, but not more often than this.
+WINDOWS, PASSES = 60, 3
 #: Tasks that average the partitions' parameters.
 AVERAGERS = 16
 #: Bytes of text scored side by side in a task.
@@ -171,7 +172,7 @@ def learn(train: DataFrame, model: dict) -> dict:
             held = [m["words"].find(*tokens(*tb.column(b.column("text")))[:2], len(m["params"]["word_b"]))[0] for b in batches]
             held = np.concatenate(held) if held else np.zeros(0, np.int64)
             p = {n: v.copy() for n, v in m["params"].items()}
-            seen, _ = gru.Learner(p, m["cuts"], m["end"]).learn(held, WINDOWS)
+            seen, _ = gru.Learner(p, m["cuts"], m["end"]).learn(held, WINDOWS, PASSES)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([float(len(held))]), pa.array([_pack(p)], pa.binary())], ["weight", "params"])
 

@@ -30,15 +30,18 @@ def permute(df: DataFrame, number: str, total: str, seed: int, out: str) -> Data
     df = df.withColumn(a, F.greatest(F.lit(1), F.ceil(F.sqrt(F.col(total)))).cast("long"))
     df = df.withColumn(b, F.greatest(F.lit(1), F.ceil(F.col(total) / F.col(a))).cast("long"))
 
+    def turn(k: int):
+        key = F.lit(seed + k)
+        if k % 2 == 0:
+            return lambda t: F.struct(F.pmod(t["l"] + F.pmod(F.xxhash64(t["r"], key), F.col(a)), F.col(a)).alias("l"), t["r"].alias("r"))
+        return lambda t: F.struct(t["l"].alias("l"), F.pmod(t["r"] + F.pmod(F.xxhash64(t["l"], key), F.col(b)), F.col(b)).alias("r"))
+
     def step(v: Column) -> Column:
         # the halves travel as a struct so that each round reads the last one's value once
         s = F.struct((v - F.pmod(v, F.col(b))).alias("d"), F.pmod(v, F.col(b)).alias("r"))
         s = F.transform(F.array(s), lambda t: F.struct((t["d"] / F.col(b)).cast("long").alias("l"), t["r"].alias("r")))
         for k in range(ROUNDS):
-            if k % 2 == 0:
-                s = F.transform(s, lambda t, k=k: F.struct(F.pmod(t["l"] + F.pmod(F.xxhash64(t["r"], F.lit(seed + k)), F.col(a)), F.col(a)).alias("l"), t["r"].alias("r")))
-            else:
-                s = F.transform(s, lambda t, k=k: F.struct(t["l"].alias("l"), F.pmod(t["r"] + F.pmod(F.xxhash64(t["l"], F.lit(seed + k)), F.col(b)), F.col(b)).alias("r")))
+            s = F.transform(s, turn(k))
         return F.element_at(F.transform(s, lambda t: t["l"] * F.col(b) + t["r"]), 1)
 
     df = df.withColumn(x, step(F.col(number)))
