@@ -166,4 +166,5 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return score(rows, train(rows, labels)).drop("text")
+    out = score(rows, train(rows, labels)).drop("text")
+    return out.withColumns({"score": F.col("p_toxic"), "predicted": F.col("is_toxic").cast("int")})
