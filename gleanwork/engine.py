@@ -101,6 +101,7 @@ class Engine:
         self.spark, self.router = spark, router or ex.Router()
         self.profiles = ProfileStore(spark, f"{home.rstrip('/')}/registry.json")
         self._running: set[str] = set()
+        self._searches, self._tag = 0, f"search-{id(self)}"
 
     # ------------------------------------------------------------ profiles
 
@@ -196,7 +197,18 @@ class Engine:
 
     def search(self, raw: str | None, scope: Scope = Scope.BOTH, profile_ids: list[str] | None = None, k: int = planner.TOP, highlights: bool = True, category: str | None = None, filter_before_limit: bool = False, norm: str = "lucene") -> SearchResult:
         """The k best documents of the chosen profiles (all where none is named) with marked names and
-        fragments. A category filters the page, not the number of hits, unless asked to come first."""
+        fragments. A category filters the page, not the number of hits, unless asked to come first.
+        A new search ends the jobs of the engine's last one."""
+        self.spark.interruptTag(self._tag)
+        self._searches += 1
+        self._tag = f"search-{id(self)}-{self._searches}"
+        self.spark.addTag(self._tag)
+        try:
+            return self._search(raw, scope, profile_ids, k, highlights, category, filter_before_limit, norm)
+        finally:
+            self.spark.removeTag(self._tag)
+
+    def _search(self, raw, scope, profile_ids, k, highlights, category, filter_before_limit, norm) -> SearchResult:
         found, _ = self.profiles.load_all()
         chosen = [p for p in found if not profile_ids or p.id in profile_ids]
         tables = [t for p in chosen if (t := IndexTable(self.spark, p.storage_path)).exists()]

@@ -5,8 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleanwork.operators import manifest
+from gleanwork.control import RunControl
+from gleanwork.functions import text as T
+from gleanwork.operators import index, manifest
+from gleanwork.sources.extract import Router, extract
 from gleanwork.sources.storage import exists, shared_dir
 
 #: Files of one micro-batch: a commit each.
@@ -57,3 +61,33 @@ def latest_stream(spark: SparkSession, path: str, key: str, order: tuple[str, ..
     target = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
     upsert_stream(stream_table(spark, path).select(*columns), target, key, order)
     return read_version(spark, target).select(*columns)
+
+
+def stream_files(spark: SparkSession, root: str, extensions: list[str], files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """New files below a root as a stream (path, extension, size_bytes, last_write_time, content).
+
+    It sees files that appear; changed and removed ones are found by the snapshot difference."""
+    read = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    read = read.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(root)
+    ext = T.extension("path")
+    return read.where(ext.isin([e.lstrip(".").lower() for e in extensions])).select("path", ext.alias("extension"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_write_time"), "content")
+
+
+def ingest_stream(files: DataFrame, table, profile_id: str, router: Router, checkpoint: str, control: RunControl | None = None):
+    """Extract and index a stream's files, a commit for each micro-batch; pausing and cancelling take
+    effect between batches. A batch that runs again replaces its own rows. Returns the finished query."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        if control:
+            control.checkpoint()
+        got = extract(batch, router).withColumnRenamed("content", "text")
+        rows = batch.drop("content").join(got, "path").select(
+            "path", "extension", "size_bytes", "last_write_time", F.coalesce("text", F.lit("")).alias("content"), F.col("success").alias("content_indexed"), F.col("failure_reason").alias("skip_reason")
+        )
+        new = index.map_documents(rows, profile_id)
+        fresh = new.select("path", "size_bytes", "last_write_time", F.current_timestamp().alias("indexed_at"), "content_indexed")
+        table.commit(index.update(table.read("docs"), new), manifest.upsert(table.read("manifest"), fresh))
+
+    run = files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return run
