@@ -59,14 +59,20 @@ def summary(changes: DataFrame) -> DataFrame:
     )
 
 
+def _range_of(rows: DataFrame, order: str, buckets: int) -> Column:
+    """Number of the range of ``order`` that a row lies in; the ends are one row for the driver."""
+    lo, hi = rows.agg(F.min(order), F.max(order)).first()
+    width = max(1, -(-(hi - lo + 1) // buckets)) if lo is not None else 1
+    return F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(width)).cast("long")
+
+
 def progress(changes: DataFrame, order: str, buckets: int = 1024) -> DataFrame:
     """Running counters in ``order``: scanned, unchanged, removed.
 
     Rows are counted by range of ``order`` first, so that each range's running counts are made by
     its own task from the sums before it; no task sees all rows."""
     flags = {"scanned": F.col("status") != REMOVED, "unchanged_so_far": F.col("status") == UNCHANGED, "removed_so_far": F.col("status") == REMOVED}
-    width = changes.agg(F.min(order).alias("_lo"), F.greatest(F.ceil((F.max(order) - F.min(order) + 1) / F.lit(buckets)).cast("long"), F.lit(1)).alias("_w"))
-    rows = changes.join(F.broadcast(width)).withColumn("_b", F.floor((F.col(order) - F.col("_lo")) / F.col("_w")).cast("long")).drop("_lo", "_w")
+    rows = changes.withColumn("_b", _range_of(changes, order, buckets))
     ints = {k: v.cast("long") for k, v in flags.items()}
     sums = rows.groupBy("_b").agg(*[F.sum(v).alias(f"_s_{k}") for k, v in ints.items()])
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over `buckets` rows
@@ -77,8 +83,7 @@ def progress(changes: DataFrame, order: str, buckets: int = 1024) -> DataFrame:
 
 def commit_batches(writes: DataFrame, order: str, every: int = COMMIT_EVERY, buckets: int = 1024) -> DataFrame:
     """(batch, n_writes): index writes in ``order``, committed every ``every``."""
-    lo_hi = writes.agg(F.min(order).alias("_lo"), F.greatest(F.ceil((F.max(order) - F.min(order) + 1) / F.lit(buckets)).cast("long"), F.lit(1)).alias("_w"))
-    rows = writes.join(F.broadcast(lo_hi)).select(order, F.floor((F.col(order) - F.col("_lo")) / F.col("_w")).cast("long").alias("_b"))
+    rows = writes.select(order, _range_of(writes, order, buckets).alias("_b"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_p"))
     n = F.row_number().over(Window.partitionBy("_b").orderBy(order)) + F.col("_p")

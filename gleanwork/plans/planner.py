@@ -55,6 +55,21 @@ def term_filter(query: Query) -> Column:
     return _any(parts)
 
 
+def candidates(docs: DataFrame, query: Query) -> DataFrame:
+    """Documents that may match, by substrings: for tables without postings, so that few texts are
+    analysed. Every token of a positive clause is a substring of the lower-cased field it is in."""
+
+    def may(c: Clause, field: str) -> Column:
+        if c.kind is Kind.WILDCARD:
+            parts = [] if "\\" in c.text else [x for x in c.text.replace("?", "*").split("*") if x]
+        else:
+            parts = list(dict.fromkeys(c.tokens))
+        text = F.col("file_name_lc") if field == NAME else F.lower("content")
+        return _all([text.contains(x) for x in parts])
+
+    return docs.where(_all([_any([may(c, f) for f in fields_of(c, query)]) for c in query.positive]))
+
+
 def byte_norm(length: Column) -> Column:
     """1/sqrt(length), cut off to a byte's floating point number: four steps for each power of two."""
     x = (F.lit(1.0) / F.sqrt(F.greatest(length, F.lit(1)).cast("double"))).cast("float").cast("double")
