@@ -144,7 +144,9 @@ class Plan:
         """One row per candidate document: ``terms`` maps field and term to its posting."""
         q = self.query
         wild = [(i, c) for i, c in enumerate(q.clauses) if c.kind is Kind.WILDCARD]
-        entry = F.struct("tf", "positions", "field_len")
+        # positions are read only where a phrase needs them
+        phrases = any(c.kind is Kind.PHRASE and len(c.tokens) > 1 for c in q.clauses)
+        entry = F.struct("tf", "field_len", *["positions"] * phrases)
         exact = _any([F.col("field").isin(*fields_of(c, q)) & F.col("term").isin(*dict.fromkeys(c.tokens)) for c in q.clauses if c.tokens])
         key = F.concat_ws("\t", "field", "term")
         content = [F.coalesce(F.bool_or((F.col("field") == CONTENT) & wildcard_predicate(F.col("term"), c.text)), F.lit(False)).alias(f"wild_{CONTENT}_{i}") for i, c in wild if CONTENT in fields_of(c, q)]
