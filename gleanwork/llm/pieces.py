@@ -17,6 +17,7 @@ Texts are cut where no piece reaches across, and paths of the parts are kept in
 from __future__ import annotations
 
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from gleanwork.llm import textbytes as tb
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Parts and pairs of pieces that a process remembers; the tables are emptied when full.
-KEPT_PARTS, KEPT_PAIRS = 250_000, 500_000
+KEPT_PARTS, KEPT_PAIRS = 800_000, 500_000
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Weight of a character without a piece, beyond the worst piece (of a unigram model).
@@ -80,6 +81,7 @@ class Transducer:
                 self.prefix, self.trim = bool(f.get(3, 1)), bool(f.get(4, 1))
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER)}
         self.rank = {p: self.scores[i] for p, i in self.ids.items()}
+        self.heads = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
         self.longest = max(map(len, self.ids))
@@ -100,7 +102,7 @@ class Transducer:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}  # by words as they stand in a text
         self.known_parts: dict[str, int] = {}
-        self.paths: list[list[int]] = []
+        self.ids_of_paths, self.ends_of_paths = array("i"), array("q")
 
     def normalise(self, text: str) -> str:
         if self.trim:
@@ -133,40 +135,66 @@ class Transducer:
         found = self.after.setdefault(one, {})[two] = self.merged(one + two) == ([one, two] if one else [two])
         return found
 
+    def _accepted(self, part: str) -> list[str]:
+        """Pieces of the one path of finite weight, depth first: long arcs before short ones. A state
+        (position, piece before) that leads nowhere is not entered again."""
+        ids, heads, after, nothing, n = self.ids, self.heads, self.after, {}, len(part)
+        pieces: list[str] = []
+        waiting: list[list[str]] = []  # arcs not yet tried, by state on the path
+        dead: set[tuple[int, str]] = set()
+        at, one = 0, ""
+        fresh = True
+        while at < n:
+            if fresh:
+                end = at + 1
+                arcs = [part[at:end]]
+                while end < n:
+                    end += 1
+                    piece = part[at:end]
+                    if piece not in heads:
+                        break
+                    if piece in ids:
+                        arcs.append(piece)
+            known = after.get(one, nothing)
+            fresh = False
+            while arcs:
+                piece = arcs.pop()
+                ok = known.get(piece)
+                if ok is None:
+                    ok = self.follows(one, piece)
+                    known = after[one]
+                if ok and not (dead and (at + len(piece), piece) in dead):
+                    pieces.append(piece)
+                    waiting.append(arcs)
+                    at += len(piece)
+                    one = piece
+                    fresh = True
+                    break
+            if not fresh:
+                if not pieces:
+                    raise AssertionError(f"no path through {part!r}")
+                dead.add((at, one))
+                at -= len(pieces.pop())
+                arcs = waiting.pop()
+                one = pieces[-1] if pieces else ""
+        return pieces
+
     def path(self, part: str) -> list[int]:
         """Ids of the shortest path of a normalised part."""
         ids, n = self.ids, len(part)
-        last: list[str] = [""] * (n + 1)
         if self.type == BPE:
-            nothing: dict[str, bool] = {}
-            after = [self.after.get("", nothing)]
-            for end in range(1, n + 1):
-                # the one piece that may end here; short ones are the likelier
-                for start in range(end - 1, max(0, end - self.longest) - 1, -1):
-                    piece = part[start:end]
-                    ok = after[start].get(piece)
-                    if ok is None:
-                        if end - start > 1 and piece not in ids:
-                            continue
-                        ok = self.follows(last[start], piece)
-                        after[start] = self.after[last[start]]
-                    if ok:
-                        last[end] = piece
-                        after.append(self.after.get(piece, nothing))
-                        break
-                else:
-                    raise AssertionError(f"no path to {end} of {part!r}")
-        else:
-            weight = [0.0] + [float("inf")] * n
-            for end in range(1, n + 1):
-                for start in range(max(0, end - self.longest), end):
-                    piece = part[start:end]
-                    i = ids.get(piece)
-                    if i is None and end - start > 1:
-                        continue
-                    w = weight[start] + (-self.scores[i] if i is not None else UNKNOWN_WEIGHT - self.worst)
-                    if w < weight[end]:
-                        weight[end], last[end] = w, piece
+            return [i for piece in self._accepted(part) for i in ([ids[piece]] if piece in ids else self._fallback(piece))]
+        last: list[str] = [""] * (n + 1)
+        weight = [0.0] + [float("inf")] * n
+        for end in range(1, n + 1):
+            for start in range(max(0, end - self.longest), end):
+                piece = part[start:end]
+                i = ids.get(piece)
+                if i is None and end - start > 1:
+                    continue
+                w = weight[start] + (-self.scores[i] if i is not None else UNKNOWN_WEIGHT - self.worst)
+                if w < weight[end]:
+                    weight[end], last[end] = w, piece
         out: list[list[int]] = []
         at = n
         while at:
@@ -207,31 +235,44 @@ class Transducer:
         return got
 
     def _learn(self, known: dict[str, int], key: str, paths: list[list[int]]) -> int:
-        known[key] = len(self.paths)
-        self.paths.append([i for p in paths for i in p])
-        return len(self.paths) - 1
+        known[key] = at = len(self.ends_of_paths)
+        for p in paths:
+            self.ids_of_paths.extend(p)
+        self.ends_of_paths.append(len(self.ids_of_paths))
+        return at
 
     def encode(self, text: str) -> list[int]:
-        if len(self.paths) >= KEPT_PARTS:
-            self._forget()
-        return [i for k in self.indexes(text) for i in self.paths[k]]
+        return self.encode_all([text])[0].tolist()
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, and their offsets."""
-        ids, counts = [], []
-        for text in texts:
-            if len(self.paths) >= KEPT_PARTS:
-                self._forget()
-            at = self.indexes(text)
-            own = np.fromiter((i for k in at for i in self.paths[k]), np.int32) if len(at) < 64 else self._gather(at)
-            ids.append(own)
-            counts.append(len(own))
-        return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int64)
+        out, sizes, at, bounds = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [], [0]
 
-    def _gather(self, at: list[int]) -> np.ndarray:
-        from itertools import chain
+        def settle() -> None:
+            ids, n = self._gather(np.array(at, np.int64), np.array(bounds))
+            out.append(ids)
+            sizes.append(n)
+            at.clear()
+            bounds[:] = [0]
 
-        return np.array(list(chain.from_iterable(map(self.paths.__getitem__, at))), np.int32)
+        for text in texts:
+            if len(self.ends_of_paths) >= KEPT_PARTS:
+                settle()
+                self._forget()
+            at += self.indexes(text)
+            bounds.append(len(at))
+        settle()
+        return np.concatenate(out), np.cumsum(np.concatenate(sizes))
+
+    def _gather(self, at: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the paths ``at``, and their number between each two bounds."""
+        # views of the tables; they are gone before the tables grow again
+        ends, flat = np.frombuffer(self.ends_of_paths or array("q", [0]), np.int64), np.frombuffer(self.ids_of_paths or array("i", [0]), np.int32)
+        starts = np.where(at > 0, ends[at - 1], 0)
+        n = ends[at] - starts
+        upto = np.concatenate([[0], np.cumsum(n)])
+        where = np.repeat(starts - upto[:-1], n) + np.arange(upto[-1])
+        return flat[where], np.diff(upto[bounds])
 
     def decode_all(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of the decoded texts one after another, and their offsets. The blank that the
@@ -283,7 +324,7 @@ def tokenize(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
         machine = compiled(sent.value)
         for batch in batches:
             buf, offs = tb.column(batch.column("text"))
-            for lo, hi, b, o in tb.pieces(buf, offs, 1 << 19):
+            for lo, hi, b, o in tb.pieces(buf, offs):
                 raw = b.tobytes()
                 ids, bounds = machine.encode_all([raw[s:e].decode() for s, e in zip(o[:-1], o[1:], strict=True)])
                 back, ends = machine.decode_all(ids, bounds)
