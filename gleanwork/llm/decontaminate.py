@@ -140,4 +140,25 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row_key")
+    return find(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row_key", "n_windows")
+
+
+#: The same by brute force: every window that starts with a shingle of an item of its length, without fingerprints.
+OP8_SQL = r"""
+WITH b AS (SELECT item_id, w, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) ELSE [array_to_string(w, ' ')] END AS sh
+           FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) > 0),
+  bi AS (SELECT item_id, len(sh) AS n, unnest(sh) AS h FROM b),
+  k AS (SELECT h, 1 / (1 + ln(count(DISTINCT item_id))) AS w FROM bi GROUP BY h),
+  bc AS (SELECT item_id, n, h, count(*) AS c FROM bi GROUP BY ALL),
+  d AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) ELSE [array_to_string(w, ' ')] END AS sh
+        FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents) WHERE len(w) > 0),
+  dp AS (SELECT doc_id, unnest(sh) AS h, generate_subscripts(sh, 1) AS pos FROM d),
+  v AS (SELECT DISTINCT doc_id, pos, n FROM dp JOIN (SELECT DISTINCT h, n FROM bi) USING (h)),
+  x AS (SELECT doc_id, pos, n, h, count(*) AS c FROM (SELECT doc_id, pos, n, unnest(sh[pos:pos+n-1]) AS h FROM v JOIN d USING (doc_id)) GROUP BY ALL),
+  ww AS (SELECT doc_id, pos, n, sum(c * coalesce(w, 1)) AS weight FROM x LEFT JOIN k USING (h) GROUP BY ALL),
+  iw AS (SELECT item_id, n, sum(c * w) AS weight FROM bc JOIN k USING (h) GROUP BY ALL),
+  m AS (SELECT doc_id, pos, n, item_id, sum(least(x.c, bc.c) * w) AS shared FROM x JOIN bc USING (n, h) JOIN k USING (h) GROUP BY ALL),
+  s AS (SELECT doc_id, item_id, pos, round(shared / (ww.weight + iw.weight - shared), 6) AS similarity, shared / (ww.weight + iw.weight - shared) AS exact
+        FROM m JOIN ww USING (doc_id, pos, n) JOIN iw USING (item_id, n))
+SELECT doc_id, item_id, similarity, pos - 1 AS start FROM s WHERE exact >= 0.8 - 1e-9 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, pos) = 1
+"""

@@ -310,3 +310,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     once = docs.join(keys.where("_n = 1"), same, "left_semi")
     again = docs.join(keys.where("_n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])  # only rows that are repeated are shuffled for it
     return once.unionByName(again)
+
+
+#: All pairs with a common shingle, counted.
+OP9_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM t),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS inter FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL),
+  p AS (SELECT a, b, inter = na.n AND inter = nb.n AS same FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE inter * 10 >= 8 * (na.n + nb.n - inter)),
+  k AS (SELECT documents.doc_id, least(documents.doc_id, coalesce(min(b), documents.doc_id)) AS class_id FROM documents LEFT JOIN p ON a = documents.doc_id AND same GROUP BY documents.doc_id),
+  r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b)
+SELECT k.doc_id, class_id, (SELECT count(*) FROM p WHERE a = k.doc_id) AS n_links, (SELECT count(DISTINCT o.class_id) FROM p JOIN k o ON o.doc_id = p.b WHERE p.a = k.doc_id AND NOT same) AS n_class_links,
+  least(k.doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = k.doc_id), k.doc_id)) AS group_id FROM k
+"""

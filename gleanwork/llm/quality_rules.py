@@ -160,3 +160,40 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     counts = materialise(measure(docs, "doc_id", "lang", "source"), "quality-counts")
     return judge(counts).select("doc_id", *COUNTS[:5], "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+def op3_sql() -> str:
+    """The same in SQL, from the rules above."""
+    gamma = repr(GAMMA)
+    value = lambda sql: "CASE WHEN {1} > 0 THEN {0} / {1} ELSE 0.0 END".format(*sql.split(" / "))
+    quart = "min(CASE WHEN upto >= ceil(total * {}) THEN value END)"
+
+    def quantile(by: str) -> str:
+        keys = f"{by}, " if by else ""
+        return f"""SELECT {keys}rule, {quart.format(0.25)} AS q25, {quart.format(0.75)} AS q75, max(total) AS total FROM (
+          SELECT {keys}rule, CASE WHEN bucket = {ZERO} THEN 0.0 ELSE power({gamma}, bucket) * {2 / (GAMMA + 1)!r} END AS value,
+            sum(n) OVER (PARTITION BY {keys}rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}rule) AS total
+          FROM (SELECT {keys}rule, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL"""
+
+    rules = " UNION ALL ".join(f"SELECT doc_id, lang, source, n_words, '{name}' AS rule, {least} AS least, {str(below).lower()} AS below, {value(sql)} AS x FROM m" for name, (sql, least, below) in RULES.items())
+    order = ", ".join(f"'{name}'" for name in RULES)
+    return f"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  g AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS pos, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS gram FROM t WHERE len(w) >= 8),
+  g2 AS (SELECT doc_id, pos FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+  r AS (SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest(range(pos, pos + 8)) AS word FROM g2) GROUP BY doc_id),
+  l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
+  m AS (SELECT t.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines, len(regexp_extract_all(text, '[A-Z]')) AS n_upper,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i-1])) AS n_echoes FROM t JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+  v AS ({rules}),
+  sketch AS (SELECT lang, source, rule, CASE WHEN x <= 0 THEN {ZERO} ELSE CAST(ceil(ln(x) / {math.log(GAMMA)!r}) AS INTEGER) END AS bucket, count(*) AS n FROM v WHERE n_words > 0 GROUP BY ALL),
+  own AS ({quantile("lang, source")}), bylang AS ({quantile("lang")}), whole AS ({quantile("")}),
+  f AS (SELECT own.lang, own.source, own.rule, CASE WHEN own.total >= {MIN_GROUP} THEN own.q25 WHEN bylang.total >= {MIN_GROUP} THEN bylang.q25 ELSE whole.q25 END AS q25,
+    CASE WHEN own.total >= {MIN_GROUP} THEN own.q75 WHEN bylang.total >= {MIN_GROUP} THEN bylang.q75 ELSE whole.q75 END AS q75
+    FROM own JOIN bylang ON own.lang IS NOT DISTINCT FROM bylang.lang AND own.rule = bylang.rule JOIN whole ON own.rule = whole.rule),
+  bad AS (SELECT doc_id, list(v.rule ORDER BY list_position([{order}], v.rule)) AS rules FROM v JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.rule = f.rule
+    WHERE x > q75 + greatest(q75 - q25, least) * {FENCE} OR below AND x < q25 - greatest(q75 - q25, least) * {FENCE} GROUP BY doc_id)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND rules IS NULL AS kept, coalesce(array_to_string(rules, ','), '') AS failed_rules FROM m LEFT JOIN bad USING (doc_id)
+"""

@@ -15,4 +15,9 @@ QUERIES = {
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
-ORACLE = {"op2_warc": warc.OP2_SQL}
+ORACLE = {
+    "op2_warc": warc.OP2_SQL,
+    "op3_quality_rules": quality_rules.op3_sql(),
+    "op8_decontamination": decontaminate.OP8_SQL,
+    "op9_ngram_join": ngram_join.OP9_SQL,
+}

@@ -26,7 +26,7 @@ WALKS = 64
 
 def permute(df: DataFrame, number: str, total: str, seed: int, out: str) -> DataFrame:
     """Add ``out``, the image of column ``number`` in [0, column ``total``)."""
-    a, b, x, state = (free_name(df, c) for c in ("_fa", "_fb", "_fx", "_state"))
+    a, b, x = (free_name(df, c) for c in ("_fa", "_fb", "_fx"))
     df = df.withColumn(a, F.greatest(F.lit(1), F.ceil(F.sqrt(F.col(total)))).cast("long"))
     df = df.withColumn(b, F.greatest(F.lit(1), F.ceil(F.col(total) / F.col(a))).cast("long"))
 
