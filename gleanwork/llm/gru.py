@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN = 16
-CLASSES = 64
+HIDDEN = 12
+CLASSES = 32
 #: Truncation of backpropagation, and streams that are learnt from side by side.
-STEPS, STREAMS = 16, 64
-RATE = 0.05
+STEPS, STREAMS = 16, 256
+RATE = 0.1
 TAILS = 16
 #: Hidden states whose outputs are computed together.
 FLUSH = 40_000

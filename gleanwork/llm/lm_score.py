@@ -1,9 +1,8 @@
 """Log-likelihoods of whole documents under a gated recurrent language model learnt from the corpus.
 
 Word counts cover every training document. The vocabulary and the model's first predictions come
-from them; learning then runs in rounds: each partition of a slice of the training documents (a
-fixed share, so it grows with the corpus) learns from the parameters sent to it, and the results
-are averaged in a tree. Scoring sends the parameters and the counts of the most frequent words, both
+from them; learning then runs in rounds, each over its share of all training documents: every
+partition learns from the parameters sent to it, and the results are averaged in a tree. Scoring sends the parameters and the counts of the most frequent words, both
 of bounded size; rarer words are joined to their counts by an equi-join.
 """
 
@@ -18,12 +17,11 @@ from gleanwork.llm import gru
 from gleanwork.llm import textbytes as tb
 from gleanwork.llm.shared import materialise
 
-VOCABULARY = 4096
+VOCABULARY = 2048
 #: Words whose counts are broadcast, 16 bytes each; the others' are joined.
 SENT = 1 << 19
+#: Rounds of learning; the training documents are dealt to them, so each is learnt from.
 ROUNDS = 3
-#: Each round learns from one slice of this many of the training documents.
-SLICES = 24
 #: Windows that a partition learns in each round at least, going over its texts again where they are
 #: few, but not more often than this.
 WINDOWS, PASSES = 60, 3
@@ -160,7 +158,7 @@ def _average(batches):
 
 
 def learn(train: DataFrame, model: dict) -> dict:
-    """The model after ROUNDS rounds of averaged learning over slices of the training documents."""
+    """The model after ROUNDS rounds of averaged learning that together go over all training documents."""
     if model["end"] < 0 or not model["total"]:
         return model
     context = train.sparkSession.sparkContext
@@ -169,14 +167,15 @@ def learn(train: DataFrame, model: dict) -> dict:
 
         def run(batches, sent=sent):
             m = sent.value
-            held = [m["words"].find(*tokens(*tb.column(b.column("text")))[:2], len(m["params"]["word_b"]))[0] for b in batches]
-            held = np.concatenate(held) if held else np.zeros(0, np.int64)
+            k = len(m["params"]["word_b"])
+            held = [m["words"].find(*tokens(buf, offs)[:2], k)[0].astype(np.int32) for b in batches for _, _, buf, offs in tb.pieces(*tb.column(b.column("text")), SCORED)]
+            held = np.concatenate(held) if held else np.zeros(0, np.int32)
             p = {n: v.copy() for n, v in m["params"].items()}
             seen, _ = gru.Learner(p, m["cuts"], m["end"]).learn(held, WINDOWS, PASSES)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([float(len(held))]), pa.array([_pack(p)], pa.binary())], ["weight", "params"])
 
-        part = train.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(SLICES)) == r).select("text")
+        part = train.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(ROUNDS)) == r).select("text")
         made = part.mapInArrow(run, "weight double, params binary").repartition(AVERAGERS).mapInArrow(_average, "weight double, params binary").collect()  # AVERAGERS rows at most
         if made:
             weights = np.array([x.weight for x in made])
