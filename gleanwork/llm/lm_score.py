@@ -87,25 +87,40 @@ def _arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
 
 
 class Words:
-    """The words that are sent: number (-1 beyond the vocabulary) and count by hash."""
+    """The words that are sent: counts by hash, and the vocabulary's numbers."""
 
     def __init__(self, word: np.ndarray, n: np.ndarray, vocabulary: np.ndarray):
         order = np.argsort(word)
         self.word, self.n = word[order], n[order]
-        self.number = np.full(len(word), -1, np.int32)
-        at = np.searchsorted(self.word, vocabulary)
-        self.number[at] = np.arange(len(vocabulary))
-
-    def find(self, h: np.ndarray, kind: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        self.number = np.argsort(vocabulary)  # the few words of the model apart: most tokens are theirs
+        self.vocabulary = vocabulary[self.number]
+        self.counts = self.n[np.searchsorted(self.word, self.vocabulary)] if len(vocabulary) else np.zeros(0, np.int64)
+
+    def _place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        return at, self.vocabulary[at] == h
+
+    def numbers(self, h: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Model numbers of tokens: a word's own, or that of its tail class."""
+        tail = len(self.vocabulary) + kind.astype(np.int32)
+        if not len(self.vocabulary):
+            return tail
+        at, hit = self._place(h)
+        return np.where(hit, self.number[at].astype(np.int32), tail)
+
+    def find(self, h: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Model numbers and counts of tokens; the count of a word that isn't sent is -1."""
-        some, back = np.unique(h, return_inverse=True)
-        number, n = np.full(len(some), -1, np.int64), np.full(len(some), -1, np.int64)
+        number, n = len(self.vocabulary) + kind.astype(np.int32), np.full(len(h), -1, np.int64)
+        rest = np.arange(len(h))
+        if len(self.vocabulary):
+            at, hit = self._place(h)
+            number, n = np.where(hit, self.number[at].astype(np.int32), number), np.where(hit, self.counts[at], n)
+            rest = np.flatnonzero(~hit)
         if len(self.word):
+            some, back = np.unique(h[rest], return_inverse=True)
             at = np.minimum(np.searchsorted(self.word, some), len(self.word) - 1)
-            hit = self.word[at] == some
-            number[hit], n[hit] = self.number[at[hit]], self.n[at[hit]]
-        number = number[back]
-        return np.where(number >= 0, number, k + kind.astype(np.int64)), n[back]
+            n[rest] = np.where(self.word[at] == some, self.n[at], -1)[back]
+        return number, n
 
 
 def prepare(counts: DataFrame) -> dict:
@@ -167,8 +182,7 @@ def learn(train: DataFrame, model: dict) -> dict:
 
         def run(batches, sent=sent):
             m = sent.value
-            k = len(m["params"]["word_b"])
-            held = [m["words"].find(*tokens(buf, offs)[:2], k)[0].astype(np.int32) for b in batches for _, _, buf, offs in tb.pieces(*tb.column(b.column("text")), SCORED)]
+            held = [m["words"].numbers(*tokens(buf, offs)[:2]) for b in batches for _, _, buf, offs in tb.pieces(*tb.column(b.column("text")), SCORED)]
             held = np.concatenate(held) if held else np.zeros(0, np.int32)
             p = {n: v.copy() for n, v in m["params"].items()}
             seen, _ = gru.Learner(p, m["cuts"], m["end"]).learn(held, WINDOWS, PASSES)
@@ -190,7 +204,7 @@ _FIELDS = "n_tokens long, n_known long, base double, score double, rest array<st
 def _scores(buf: np.ndarray, offs: np.ndarray, m: dict) -> list[pa.Array]:
     p, k = m["params"], len(m["params"]["word_b"])
     h, kind, offs = tokens(buf, offs)
-    number, n = m["words"].find(h, kind, k)
+    number, n = m["words"].find(h, kind)
     size = len(offs) - 1
     doc = np.repeat(np.arange(size), np.diff(offs))
     sent = n >= 0
