@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 HIDDEN = 12
-CLASSES = 32
+CLASSES = 24
 #: Truncation of backpropagation, and streams that are learnt from side by side.
 STEPS, STREAMS = 16, 256
 RATE = 0.1
