@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN = 12
-CLASSES = 24
+HIDDEN = 16
+CLASSES = 64
 #: Truncation of backpropagation, and streams that are learnt from side by side.
 STEPS, STREAMS = 16, 256
 RATE = 0.1

@@ -17,7 +17,7 @@ from gleanwork.llm import gru
 from gleanwork.llm import textbytes as tb
 from gleanwork.llm.shared import materialise
 
-VOCABULARY = 1024
+VOCABULARY = 4096
 #: Words whose counts are broadcast, 16 bytes each; the others' are joined.
 SENT = 1 << 19
 #: Rounds of learning; the training documents are dealt to them, so each is learnt from.

@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from gleanwork.llm import components, decontaminate, gru, html_extract, ngram_join, pieces, quality_rules, registry, sharding, textbytes, warc
+from gleanwork.llm import components, decontaminate, gru, html_extract, lm_score, ngram_join, pieces, quality_rules, registry, sharding, textbytes, warc
 from tests.conftest import SF
 from tests.llm.conftest import doc, near, prose, write
 
@@ -226,6 +226,14 @@ def test_lm_counts_and_gain(spark):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def test_model_tells_most_tokens_apart(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    m = lm_score.prepare(lm_score.word_counts(rows.where(~lm_score.held_out())).cache())
+    h, kind, _ = lm_score.tokens(*textbytes.column(rows.select("text").toArrow().column("text")))
+    own = m["words"].numbers(h, kind) < len(m["params"]["word_b"])
+    assert own.mean() > 0.6  # 0.48 with 1024 words
+
+
 def test_model_is_a_distribution_and_carries_state():
     counts, tails = np.array([50.0, 30, 20, 10, 5, 5, 1]), np.full(gru.TAILS, 3.0)
     p, cuts = gru.start(counts, tails), gru.split(counts)
