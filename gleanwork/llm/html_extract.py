@@ -6,7 +6,8 @@ equivalence class. Vectors are never gathered: each is kept as the XOR of one ha
 count, which partial aggregates merge, with its number of pages. Classes of two tokens or more on
 at least half of the host's pages are valid; nested by their paths they are the host's template,
 and what stands between their tokens are its slots. Texts that are tokens of a valid class are the
-template's own; the slot holding the article is extracted.
+template's own. Slots hold the text of their whole subtree; all within article and main elements are
+extracted, or, on hosts without them, all below the container where the host's texts meet.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ from gleanwork.llm.shared import materialise
 #: Share of a host's pages, and pages, that a valid class needs at least.
 SUPPORT = 0.5
 TEXT_PAGES = 3
+#: Without article and main, a container that stands in the body itself, has no h1 and is so many
+#: times shorter than the longest beside it is none of the article's.
+ASIDE = 20
+ARTICLE = r">(article|main)(\.[^>]*)?$"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
@@ -46,19 +51,19 @@ NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
-def parse(page: str) -> tuple[Counter, list[tuple[str, bool, bool, str]]]:
-    """Container tokens of a page with their counts, and its blocks: (path, outside, in article, text)."""
+def parse(page: str) -> tuple[Counter, list[tuple[str, bool, bool, str, bool]]]:
+    """Container tokens of a page with their counts, and its blocks: (path, outside, in article, text, in h1)."""
     tokens: Counter = Counter()
-    blocks: list[tuple[str, bool, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, outside, in article
+    blocks: list[tuple[str, bool, bool, str, bool]] = []
+    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]  # name, path, outside, in article, in h1
     held: list[str] = []
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
         if text:
-            _, path, outside, inside = stack[-1]
-            blocks.append((path, outside, inside, text))
+            _, path, outside, inside, head = stack[-1]
+            blocks.append((path, outside, inside, text, head))
 
     at, end = 0, len(page)
     while at < end:
@@ -115,7 +120,7 @@ def parse(page: str) -> tuple[Counter, list[tuple[str, bool, bool, str]]]:
                         del stack[i:]
                         break
         names = " ".join(a or b or c for a, b, c in NAMED.findall(attributes)).lower() if attributes else ""
-        _, path, outside, inside = stack[-1]
+        _, path, outside, inside, head = stack[-1]
         marked = bool(names and not MARKS.isdisjoint(re.split(r"[^a-z]+", names))) or bool(attributes and HIDDEN.search(attributes))
         out = outside or (name in OUTSIDE or marked or (name == "header" and not inside)) and name not in ("html", "body", "article", "main")
         if not block and out != outside:
@@ -123,7 +128,7 @@ def parse(page: str) -> tuple[Counter, list[tuple[str, bool, bool, str]]]:
         if name in CONTAINERS:
             path = f"{path}>{name}" + (f".{'.'.join(names.split())}" if names else "")
             tokens[path] += 1
-        stack.append((name, path, out, inside or name in ("article", "main")))
+        stack.append((name, path, out, inside or name in ("article", "main"), head or name == "h1"))
     flush()
     return tokens, blocks
 
@@ -134,7 +139,19 @@ def _hash(parts: list[str]) -> np.ndarray:
     return tb.hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(r) for r in raw], ends) if raw else np.zeros(0, np.uint64)
 
 
-_TOKENS = pa.schema([("host", pa.string()), ("token", pa.int64()), ("kind", pa.string()), ("path", pa.string()), ("vector", pa.int64()), ("pages", pa.int64()), ("chars", pa.int64())])
+_TOKENS = pa.schema([("host", pa.string()), ("token", pa.int64()), ("kind", pa.string()), ("path", pa.string()), ("vector", pa.int64()), ("pages", pa.int64()), ("chars", pa.int64()), ("heads", pa.int64())])
+
+
+def _subtrees(own: Counter, tokens: Counter) -> Counter:
+    """Sums of ``own`` over each container with all that stands in it; '' is the page."""
+    total = Counter(own)
+    for path in sorted((t for t in tokens if t[0] == ">"), key=len, reverse=True):
+        if total[path]:
+            up = path.rpartition(">")[0]
+            while up and up not in tokens:  # a class name with the sign
+                up = up.rpartition(">")[0]
+            total[up] += total[path]
+    return total
 
 
 def _tokens(batches):
@@ -143,28 +160,31 @@ def _tokens(batches):
         found: dict[tuple, list] = {}
         for host, key, page in zip(batch.column("host").to_pylist(), batch.column("key").to_pylist(), batch.column("html").to_pylist(), strict=True):
             tokens, blocks = parse(page or "")
-            chars, texts = Counter(), Counter()
-            for path, outside, _, text in blocks:
+            chars, heads, texts = Counter(), Counter(), Counter()
+            for path, outside, _, text, head in blocks:
                 texts["#" + path + "\x00" + text] += 1
                 if not outside:
                     chars[path] += len(text)
+                    heads[path] += head
+            chars, heads = _subtrees(chars, tokens), _subtrees(heads, tokens)
             names = [*tokens, *texts]
             counts = np.array([*tokens.values(), *texts.values()], np.uint64)
             ids = _hash(names)
             vectors = tb.mix(tb.mix(counts) ^ np.uint64(key & 0xFFFFFFFFFFFFFFFF))
-            rows = [("page", 0, "", 0, 0)]
+            rows = [("page", 0, "", 0, chars[""], heads[""])]
             for name, token, vector in zip(names, ids.view(np.int64).tolist(), vectors.view(np.int64).tolist(), strict=True):
                 kind = "text" if name[0] == "#" else "close" if name[0] == "/" else "open"
-                rows.append((kind, token, "" if kind == "text" else name.removeprefix("/"), vector, chars.get(name, 0) if kind == "open" else 0))
-            for kind, token, path, vector, size in rows:
+                rows.append((kind, token, "" if kind == "text" else name.removeprefix("/"), vector, *((chars[name], heads[name]) if kind == "open" else (0, 0))))
+            for kind, token, path, vector, size, head in rows:
                 have = found.get((host, token, kind))
                 if have is None:
-                    found[host, token, kind] = [path, vector, 1, size]
+                    found[host, token, kind] = [path, vector, 1, size, head]
                 else:
                     have[1] ^= vector
                     have[2] += 1
                     have[3] += size
-        columns = zip(*((h, t, k, p, v, n, c) for (h, t, k), (p, v, n, c) in found.items()), strict=True) if found else [[]] * 7
+                    have[4] += head
+        columns = zip(*((h, t, k, p, v, n, c, d) for (h, t, k), (p, v, n, c, d) in found.items()), strict=True) if found else [[]] * 8
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _TOKENS, strict=True)], schema=_TOKENS)
 
 
@@ -178,36 +198,43 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """One row per host: main (path of the article's slot, or null), texts (hashes of the
-    template's own texts) and classes (number of valid classes).
+    """One row per host: main (path of the longest article or main element, else of the container
+    where the host's texts meet, '' for the whole page), asides (paths in it that are left out), texts
+    (hashes of the template's own texts) and classes (number of valid classes).
 
     Texts that few pages share are dropped before a host's rows meet, so that what is left per
     host is bounded by its template."""
-    tokens = pages.select("host", "key", "html").mapInArrow(_tokens, "host string, token long, kind string, path string, vector long, pages long, chars long")
-    tokens = tokens.groupBy("host", "token", "kind").agg(F.min("path").alias("path"), F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
+    tokens = pages.select("host", "key", "html").mapInArrow(_tokens, "host string, token long, kind string, path string, vector long, pages long, chars long, heads long")
+    tokens = tokens.groupBy("host", "token", "kind").agg(F.min("path").alias("path"), F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("heads").alias("heads"))
     tokens = tokens.where((F.col("kind") != "text") | (F.col("pages") >= TEXT_PAGES))
     tokens = materialise(tokens, "html-tokens")
-    size = tokens.where("kind = 'page'").select("host", F.col("pages").alias("host_pages"))
+    size = tokens.where("kind = 'page'").select("host", F.col("pages").alias("host_pages"), F.col("chars").alias("host_chars"))
     tokens = tokens.where("kind <> 'page'").join(size, "host").where(F.col("pages") >= SUPPORT * F.col("host_pages"))
     classed = tokens.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("host", "vector", "pages"))).where("members >= 2")
-    is_open = F.col("kind") == "open"
-    article = F.col("path").rlike(r">(article|main)(\.[^>]*)?$")
-    first = F.struct(article.cast("int").alias("article"), F.col("chars"), (-F.length("path")).alias("depth"), F.col("path"))
-    usable = is_open & (F.col("chars") > 0)
-    return classed.groupBy("host").agg(
-        F.max(F.when(usable, first))["path"].alias("main"),
+    usable = (F.col("kind") == "open") & (F.col("chars") > 0)
+    longest = F.struct(F.col("chars"), (-F.length("path")).alias("depth"), F.col("path"))
+    meets = F.struct(F.length("path").alias("depth"), F.col("path"))
+    found = classed.groupBy("host").agg(
+        F.max(F.when(usable & F.col("path").rlike(ARTICLE), longest))["path"].alias("article"),
+        F.coalesce(F.max(F.when(usable & (F.col("chars") == F.col("host_chars")), meets))["path"], F.lit("")).alias("meet"),
+        F.collect_list(F.when(usable, F.struct("path", "chars", "heads"))).alias("opened"),
         F.collect_set(F.when(F.col("kind") == "text", F.col("token"))).alias("texts"),
         F.countDistinct("vector").alias("classes"),
     )
+    found = found.withColumn("beside", F.expr("filter(opened, x -> startswith(x.path, concat(meet, '>')) and locate('>', x.path, length(meet) + 2) = 0)"))
+    found = found.withColumn("most", F.expr("array_max(transform(beside, x -> x.chars))"))
+    small = F.expr(f"transform(filter(beside, x -> x.heads = 0 and {ASIDE} * x.chars < most), x -> x.path)")
+    body = F.col("article").isNull() & F.col("meet").rlike(r"^(.*>(html|body)(\.[^>]*)?)?$")  # the page's own level
+    return found.select("host", F.coalesce("article", "meet").alias("main"), F.when(body, small).otherwise(F.array().cast("array<string>")).alias("asides"), "texts", "classes")
 
 
-def _main_text(page: str, main: str | None, template_texts: set[int]) -> str:
+def _main_text(page: str, main: str | None, asides: list[str], template_texts: set[int]) -> str:
     tokens, blocks = parse(page)
-    if main is not None and main in tokens:
+    article = any(b[2] for b in blocks) or bool(main and main in tokens and re.search(ARTICLE, main))
+    rest = [(path, text) for path, outside, inside, text, _ in blocks if not outside and (inside or not article)]
+    if not article and main is not None and (not main or main in tokens):
         under = main + ">"
-        return "\n".join(text for path, outside, _, text in blocks if not outside and (path == main or path.startswith(under)))
-    article = any(inside for _, _, inside, _ in blocks)
-    rest = [(path, text) for path, outside, inside, text in blocks if not outside and (inside or not article)]
+        rest = [(path, text) for path, text in rest if (path == main or path.startswith(under)) and not any(path == a or path.startswith(a + ">") for a in asides)]
     if article or not template_texts or not rest:
         return "\n".join(text for _, text in rest)
     ids = _hash([f"#{path}\x00{text}" for path, text in rest]).view(np.int64).tolist()
@@ -216,8 +243,8 @@ def _main_text(page: str, main: str | None, template_texts: set[int]) -> str:
 
 def _extract(batches):
     for batch in batches:
-        pages, mains, own = (batch.column(c).to_pylist() for c in ("html", "main", "texts"))
-        texts = [_main_text(p or "", m, set(t or ())) for p, m, t in zip(pages, mains, own, strict=True)]
+        pages, mains, asides, own = (batch.column(c).to_pylist() for c in ("html", "main", "asides", "texts"))
+        texts = [_main_text(p or "", m, a or [], set(t or ())) for p, m, a, t in zip(pages, mains, asides, own, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -229,7 +256,7 @@ def extract(pages: DataFrame) -> DataFrame:
     found = materialise(templates(rows), "html-templates")  # its size decides about a broadcast
     schema = rows.schema
     kinds = ", ".join(f"{c} {schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
-    return rows.drop("key").join(found, "host", "left").select("page_id", "url", "html", "main", "texts").mapInArrow(_extract, f"{kinds}, text string, n_chars long")
+    return rows.drop("key").join(found, "host", "left").select("page_id", "url", "html", "main", "asides", "texts").mapInArrow(_extract, f"{kinds}, text string, n_chars long")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

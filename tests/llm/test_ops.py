@@ -302,6 +302,21 @@ def test_extraction(spark):
     assert [got[20 + i].text for i in range(4)] == [f"{long} {i}" for i in range(4)]
 
 
+def test_all_slots_of_the_article(spark):
+    text = [" ".join([f"w{i}"] * 30) for i in range(4)]
+    shapes = {
+        "a": "<article><header><h1>T{0}</h1></header><div class=body><p>{1}</p></div><div class=more><p>M{0}</p></div></article>",
+        "b": "<div class=post><h1>T{0}</h1><div class=content><p>{1}</p></div><div class=more>M{0}</div></div>",
+        "c": "<main><h1>T{0}</h1><article><p>{1}</p></article><section>M{0}</section></main>",
+        "d": "<h1>T{0}</h1><div class=one><p>{1}</p></div><div class=two><p>M{0} {1}</p></div>",
+    }
+    rows = [(100 * k + i, f"http://{h}/x", f"<html><body>{shape.format(i, text[i])}</body></html>") for k, (h, shape) in enumerate(shapes.items()) for i in range(4)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, h in enumerate(shapes):
+        for i in range(4):
+            assert got[100 * k + i] == f"T{i}\n{text[i]}\nM{i}" + f" {text[i]}" * (h == "d"), h
+
+
 def test_pages(spark):
     import html
 
