@@ -6,7 +6,8 @@ equivalence class. Vectors are never gathered: each is kept as the XOR of one ha
 count, which partial aggregates merge, with its number of pages. Classes of two tokens or more on
 at least half of the host's pages are valid; nested by their paths they are the host's template,
 and what stands between their tokens are its slots. Texts that are tokens of a valid class are the
-template's own. Slots hold the text of their whole subtree; all within article and main elements are
+template's own and dropped within slots too, but for an article's h1; menus and notices go by the fixed
+lists OUTSIDE and MARKS of tags and names. Slots hold the text of their whole subtree; all within article and main elements are
 extracted, or, on hosts without them, all below the container where the host's texts meet.
 """
 
@@ -30,6 +31,8 @@ TEXT_PAGES = 3
 #: Without article and main, a container that stands in the body itself, has no h1 and is so many
 #: times shorter than the longest beside it is none of the article's.
 ASIDE = 20
+#: A page whose text is template for more than this share is a copy of its neighbours and keeps it.
+COPY = 0.9
 ARTICLE = r">(article|main)(\.[^>]*)?$"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -231,14 +234,17 @@ def templates(pages: DataFrame) -> DataFrame:
 def _main_text(page: str, main: str | None, asides: list[str], template_texts: set[int]) -> str:
     tokens, blocks = parse(page)
     article = any(b[2] for b in blocks) or bool(main and main in tokens and re.search(ARTICLE, main))
-    rest = [(path, text) for path, outside, inside, text, _ in blocks if not outside and (inside or not article)]
+    rest = [(path, text, head and inside) for path, outside, inside, text, head in blocks if not outside and (inside or not article)]
     if not article and main is not None and (not main or main in tokens):
         under = main + ">"
-        rest = [(path, text) for path, text in rest if (path == main or path.startswith(under)) and not any(path == a or path.startswith(a + ">") for a in asides)]
-    if article or not template_texts or not rest:
-        return "\n".join(text for _, text in rest)
-    ids = _hash([f"#{path}\x00{text}" for path, text in rest]).view(np.int64).tolist()
-    return "\n".join(text for (_, text), i in zip(rest, ids, strict=True) if i not in template_texts)
+        rest = [x for x in rest if (x[0] == main or x[0].startswith(under)) and not any(x[0] == a or x[0].startswith(a + ">") for a in asides)]
+    if template_texts and rest:
+        ids = _hash([f"#{path}\x00{text}" for path, text, _ in rest]).view(np.int64).tolist()
+        own = [x for x, i in zip(rest, ids, strict=True) if x[2] or i not in template_texts]
+        size = lambda xs: sum(len(text) for _, text, head in xs if not head)
+        if size(own) > (1 - COPY) * size(rest):
+            rest = own
+    return "\n".join(text for _, text, _ in rest)
 
 
 def _extract(batches):
@@ -250,8 +256,8 @@ def _extract(batches):
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row. A null html has the empty text; a host of one
-    page, or a page without its host's main slot, is read by its own containers. Repeated rows
-    give repeated rows."""
+    page, or a page without its host's main slot, is read by its own containers. A page that is
+    nearly all template is a copy and keeps its text. Repeated rows give repeated rows."""
     rows = with_host(pages)
     found = materialise(templates(rows), "html-templates")  # its size decides about a broadcast
     schema = rows.schema

@@ -317,6 +317,14 @@ def test_all_slots_of_the_article(spark):
             assert got[100 * k + i] == f"T{i}\n{text[i]}\nM{i}" + f" {text[i]}" * (h == "d"), h
 
 
+def test_template_texts_in_the_article_go(spark):
+    page = "<html><body><article><h1>News</h1><p>{}</p><p>Subscribe to our letter</p></article></body></html>"
+    rows = [(i, "http://h/x", page.format(f"Story number {i}")) for i in range(5)] + [(10 + i, "http://copies/x", page.format("Story")) for i in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(5)] == [f"News\nStory number {i}" for i in range(5)]
+    assert [got[10 + i] for i in range(3)] == ["News\nStory\nSubscribe to our letter"] * 3
+
+
 def test_pages(spark):
     import html
 
