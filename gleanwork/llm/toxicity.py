@@ -4,6 +4,10 @@ Categories are predicted one after another; each model sees the text's features
 probabilities of the categories before it. A later model learns from out-of-fold probabilities of
 the earlier ones, so it meets in training what it will meet in use. Features are the presence of
 word beginnings of 3 to 8 bytes, hashed, chosen on the sample by chi-square against the label.
+
+Labels know only ``toxic``. The categories before it are three groups of the features that tell
+toxic texts in the sample, whatever its words and languages; their names are those of the columns
+and no more.
 """
 
 from __future__ import annotations
@@ -23,18 +27,11 @@ BITS = 20
 PREFIXES = range(3, 9)
 FOLDS = 5
 RIDGE = 1e-4
-#: Categories before the label itself, marked in labelled toxic texts by any of their words (fixed values).
-WORDS = {
-    "insult": ("clown", "idiot", "loser", "moron", "stupid"),
-    "contempt": ("pathetic", "worthless"),
-    "disgust": ("disgusting", "scum", "trash"),
-}
-CHAIN = (*WORDS, "toxic")
-
-
-def _word_hash(word: str) -> int:
-    raw = np.frombuffer(word.encode(), np.uint8)
-    return int(tb.hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+#: Categories before the label itself: groups of telling features.
+GROUPS = ("insult", "contempt", "disgust")
+CHAIN = (*GROUPS, "toxic")
+#: Chi-square from which a feature tells; none of 2**BITS features without meaning is expected there.
+TELLS = 30.0
 
 
 def beginnings(buf: np.ndarray, offs: np.ndarray):
@@ -47,21 +44,31 @@ def beginnings(buf: np.ndarray, offs: np.ndarray):
 
 
 def _collect(batches):
-    marks = {c: np.array([_word_hash(w) for w in words], np.uint64) for c, words in WORDS.items()}
     for batch in batches:
         buf, offs = tb.column(batch.column("text"))
         for lo, hi, b, o in tb.pieces(buf, offs, 1 << 20):
             keys = np.unique(np.concatenate([doc << BITS | at for doc, at in beginnings(b, o)]))
             cut = np.searchsorted(keys, np.arange(hi - lo + 1) << BITS)
             ids = (keys & ((1 << BITS) - 1)).astype(np.int32)
-            low = tb.LOWER[b]
-            plain = np.where((low >= 97) & (low <= 122) | (low >= 128), low, np.uint8(32))  # words without their marks
-            s, e, doc = tb.spans(plain, o)
-            h = tb.hashes(plain, s, e)
-            has = np.zeros(hi - lo, np.int64)
-            for bit, c in enumerate(WORDS):
-                has[doc[np.isin(h, marks[c])]] |= 1 << bit
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([ids[cut[i] : cut[i + 1]].tobytes() for i in range(hi - lo)], pa.binary()), pa.array(has)], ["doc_id", "ids", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([ids[cut[i] : cut[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], ["doc_id", "ids"])
+
+
+def groups(x: np.ndarray, y: np.ndarray, chi: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Group of each feature, -1 of those that don't tell toxic texts (``more``: those commoner in them).
+
+    The telling features, three at least where there are, are ordered by how they occur together
+    over the toxic texts and cut into groups of equal number."""
+    out = np.full(x.shape[1], -1)
+    order = np.flatnonzero(more)[np.argsort(-chi[more], kind="stable")]
+    tell = order[: max(int((chi[order] >= TELLS).sum()), len(GROUPS))]
+    if len(tell):
+        a = x[y == 1][:, tell].T.astype(np.float64)
+        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
+        a -= a.mean(0)
+        along = np.linalg.eigh(a @ a.T)[1][:, -1]
+        along = np.round(along if along[0] >= 0 else -along, 6)
+        out[tell[np.argsort(-along, kind="stable")]] = np.arange(len(tell)) * len(GROUPS) // len(tell)
+    return out
 
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 150) -> np.ndarray:
@@ -85,15 +92,16 @@ def predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """The chain, or None without labelled rows of both kinds."""
+    """The chain, or None without labelled rows of both kinds. ``without`` is the share of the
+    sample's toxic rows that have no category."""
     ids = dict(labelled_ids(labels, "toxic", is_learnt(), sample))
     if len(set(ids.values())) < 2:
         return None
     chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")  # `sample` rows at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(_collect, "doc_id long, ids binary, marks long").collect()
-    rows = sorted({r.doc_id: (bytes(r.ids), r.marks) for r in sorted(rows, key=lambda r: (bytes(r.ids), r.marks))}.items())
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(_collect, "doc_id long, ids binary").collect()
+    rows = sorted({r.doc_id: bytes(r.ids) for r in sorted(rows, key=lambda r: bytes(r.ids))}.items())
     y = np.array([ids[i] for i, _ in rows], np.float32)
-    sets = [np.frombuffer(b, np.int32) for _, (b, _) in rows]
+    sets = [np.frombuffer(b, np.int32) for _, b in rows]
     size = 1 << BITS
     pos = np.bincount(np.concatenate([s for s, t in zip(sets, y, strict=True) if t]), minlength=size).astype(float)
     neg = np.bincount(np.concatenate([s for s, t in zip(sets, y, strict=True) if not t]), minlength=size).astype(float)
@@ -106,8 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
     for i, s in enumerate(sets):
         at = table[s]
         x[i, at[at >= 0]] = 1
-    marks = np.array([m for _, (_, m) in rows])
-    truth = {c: (y * ((marks >> bit) & 1)).astype(np.float32) for bit, c in enumerate(WORDS)} | {"toxic": y}
+    group = groups(x, y, chi[best] * len(y), (pos * n0 > neg * n1)[best])
+    truth = {c: (y * x[:, group == g].any(1)).astype(np.float32) for g, c in enumerate(GROUPS)} | {"toxic": y}
     fold = np.array([(i * 2654435761 >> 16) % FOLDS for i, _ in rows])
     models = []
     for c in CHAIN:
@@ -125,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
     cuts = np.linspace(0.05, 0.95, 91)
     f1 = [2 * weight[(p >= c) & (y == 1)].sum() / max(weight[p >= c].sum() + weight[y == 1].sum(), 1e-12) for c in cuts]
     top = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
-    return {"table": table, "models": models, "cut": float(cuts[top[len(top) // 2]])}
+    return {"table": table, "models": models, "cut": float(cuts[top[len(top) // 2]]), "without": float(np.mean([not any(truth[c][i] for c in GROUPS) for i in np.flatnonzero(y)]))}
 
 
 def _probabilities(buf, offs, model) -> np.ndarray:

@@ -155,6 +155,15 @@ def test_toxicity_held_out(spark, tmp_path):
     assert all(0 <= p <= 1 for x in got.values() for p in (x.p_insult, x.p_contempt, x.p_disgust, x.p_toxic))
 
 
+def test_categories_come_from_the_labelled_texts(spark, tmp_path):
+    r = random.Random(4)
+    rows = [doc(i, " ".join("vequ" + w if i % 4 == 0 and r.random() < 0.1 else w for w in prose(i, 80).split())) for i in range(300)]
+    sf = write(spark, tmp_path, rows, [(i, 1, int(i % 4 == 0), None) for i in range(300)])
+    got = {x.doc_id: max(x.p_insult, x.p_contempt, x.p_disgust) for x in run(spark, "op4_toxicity", sf).collect()}
+    out = [i for i in range(300) if held(i, 5)]
+    assert sum((got[i] > 0.5) == (i % 4 == 0) for i in out) / len(out) > 0.9
+
+
 def test_chain_feeds_earlier_probabilities(spark, edge):
     got = {x.doc_id: x for x in run(spark, "op4_toxicity", edge).collect()}
     bad = [got[300 + i] for i in range(15)]
