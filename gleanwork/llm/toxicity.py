@@ -3,7 +3,9 @@
 Categories are predicted one after another; each model sees the text's features and the
 probabilities of the categories before it. A later model learns from out-of-fold probabilities of
 the earlier ones, so it meets in training what it will meet in use. Features are the presence of
-word beginnings of 3 to 8 bytes, hashed, chosen on the sample by chi-square against the label.
+word beginnings of 3 to 8 bytes, and of runs of as many bytes from every character of every word,
+hashed, chosen on the sample by chi-square against the label. Words are cut at blanks and ASCII marks; those of scripts without blanks are
+long, and have features throughout.
 
 Labels know only ``toxic``. The categories before it are three groups of the features that tell
 toxic texts in the sample, whatever its words and languages; their names are those of the columns
@@ -24,7 +26,14 @@ from gleanwork.llm.quality_classifier import is_learnt, labelled_ids
 SAMPLE = 4000
 FEATURES = 1024
 BITS = 20
-PREFIXES = range(3, 9)
+GRAMS = range(3, 9)
+#: Tells a word's beginning from the same run elsewhere.
+BEGINS = np.uint64(0x5851F42D4C957F2D)
+#: Letters, digits and all bytes beyond ASCII; the rest cuts words.
+PLAIN = np.full(256, 32, np.uint8)
+for _first, _last in ((48, 57), (97, 122), (128, 255)):
+    PLAIN[_first : _last + 1] = np.arange(_first, _last + 1)
+PLAIN[65:91] = np.arange(97, 123)
 FOLDS = 5
 RIDGE = 1e-4
 #: Categories before the label itself: groups of telling features.
@@ -34,20 +43,30 @@ CHAIN = (*GROUPS, "toxic")
 TELLS = 30.0
 
 
-def beginnings(buf: np.ndarray, offs: np.ndarray):
-    """(text number, bucket) of every word beginning, for each length in turn."""
-    low = tb.LOWER[buf]
+def grams(buf: np.ndarray, offs: np.ndarray):
+    """(text number, bucket) of the beginning of every word and of the runs of bytes from every
+    character of it, for each length in turn."""
+    low = PLAIN[buf]
     s, e, doc = tb.spans(low, offs)
-    for k in PREFIXES:
+    for k in GRAMS:
         ok = e - s >= k
-        yield doc[ok], (tb.hashes(low, s[ok], s[ok] + k) >> np.uint64(64 - BITS)).astype(np.int64)
+        yield doc[ok], (tb.mix(tb.hashes(low, s[ok], s[ok] + k) ^ BEGINS) >> np.uint64(64 - BITS)).astype(np.int64)
+    begins = np.zeros(len(low), np.int32)
+    begins[s] = 1
+    at = np.flatnonzero((low != 32) & ((low & 0xC0) != 0x80))
+    word = np.cumsum(begins, dtype=np.int32)[at] - 1
+    room, of = e[word] - at, doc[word]
+    for k in GRAMS:
+        ok = room >= k
+        at, room, of = at[ok], room[ok], of[ok]
+        yield of, (tb.hashes(low, at, at + k) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _collect(batches):
     for batch in batches:
         buf, offs = tb.column(batch.column("text"))
         for lo, hi, b, o in tb.pieces(buf, offs, 1 << 20):
-            keys = np.unique(np.concatenate([doc << BITS | at for doc, at in beginnings(b, o)]))
+            keys = np.unique(np.concatenate([doc << BITS | at for doc, at in grams(b, o)]))
             cut = np.searchsorted(keys, np.arange(hi - lo + 1) << BITS)
             ids = (keys & ((1 << BITS) - 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([ids[cut[i] : cut[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], ["doc_id", "ids"])
@@ -139,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
 def _probabilities(buf, offs, model) -> np.ndarray:
     n = len(offs) - 1
     x = np.zeros((n, len(model["models"][0]) - 1), np.float32)
-    for doc, at in beginnings(buf, offs):
+    for doc, at in grams(buf, offs):
         at = model["table"][at]
         hit = at >= 0
         x[doc[hit], at[hit]] = 1

@@ -164,6 +164,18 @@ def test_categories_come_from_the_labelled_texts(spark, tmp_path):
     assert sum((got[i] > 0.5) == (i % 4 == 0) for i in out) / len(out) > 0.9
 
 
+def test_toxic_words_count_wherever_they_stand(spark, tmp_path):
+    r = random.Random(5)
+    cjk = lambda bad: "".join(chr(r.randrange(0x4E00, 0x4E80)) for _ in range(40)) + "\u8822\u8d27" * bad + "".join(chr(r.randrange(0x4E00, 0x4E80)) for _ in range(40))
+    rows = [doc(i, prose(i, 40) + " blarg" * (i % 4 == 0) if i % 2 == 0 else cjk(i % 4 == 1)) for i in range(400)]
+    odd = ['"blarg"', "(blarg)", "you/blarg", "-blarg", "megablarg"]
+    rows += [doc(1000 + i, prose(1000 + i, 40) + " " + x) for i, x in enumerate(odd)] + [doc(1100 + i, cjk(True)) for i in range(9)]
+    rows += [doc(1200 + i, prose(1200 + i, 40)) for i in range(9)] + [doc(1300 + i, cjk(False)) for i in range(9)]
+    sf = write(spark, tmp_path, rows, [(i, 1, int(i % 4 < 2), None) for i in range(400)])
+    got = {x.doc_id: x.is_toxic for x in run(spark, "op4_toxicity", sf).collect()}
+    assert all(got[i] for i in (*range(1000, 1005), *range(1100, 1109))) and not any(got[i] for i in (*range(1200, 1209), *range(1300, 1309)))
+
+
 def test_chain_feeds_earlier_probabilities(spark, edge):
     got = {x.doc_id: x for x in run(spark, "op4_toxicity", edge).collect()}
     bad = [got[300 + i] for i in range(15)]
