@@ -3,7 +3,10 @@
 Each rule's value goes into logarithmic buckets (a DDSketch: relative error ``ALPHA``). Bucket
 counts add up, so sketches merge exactly and in any order: partial counts before the shuffle,
 and the sketches of small groups into those of their language and of the whole table. A rule's
-cutoff is a fence around a group's middle half; documents are joined to their group's fences.
+cutoff is read from the group's sketch alone: it stands beyond the group's upper quantile by
+``FENCE`` times that quantile's distance from the median, or the mean excess over the median where
+that is more, as it is in groups whose values are nearly all equal. Documents are joined to their
+group's cutoffs.
 """
 
 from __future__ import annotations
@@ -22,20 +25,23 @@ ALPHA = 0.01
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
 #: Bucket of the value 0.
 ZERO = -1_000_000
-#: Groups of fewer documents take the fences of their language, languages those of the table.
+#: Groups of fewer documents take the cutoffs of their language, languages those of the table.
 MIN_GROUP = 100
-FENCE = 3.0
+#: Share of a group's documents beyond its upper (and its lower) quantile.
+TAIL = 0.1
+FENCE = 4.0
 WINDOW = 8
-#: Rule: (value as SQL, least width of the middle half, below too). The least width keeps groups
-#: whose values are nearly all equal, such as 0 symbols, from rejecting every other value.
+#: Keeps a value within its own bucket's edges against rounding.
+EDGE = 1e-9
+#: Rule: (value as SQL, whether it has a lower cutoff too).
 RULES = {
-    "symbols": ("n_symbols / word_chars", 0.02, False),
-    "dup_lines": ("n_dup_lines / n_lines", 0.2, False),
-    "repeats": ("n_repeat_words / n_words", 0.1, False),
-    "echoes": ("n_echoes / n_words", 0.05, False),
-    "upper": ("n_upper / word_chars", 0.1, False),
-    "word_length": ("word_chars / n_words", 0.5, True),
-    "line_words": ("n_lines / n_words", 0.1, False),
+    "symbols": ("n_symbols / word_chars", False),
+    "dup_lines": ("n_dup_lines / n_words", False),
+    "repeats": ("n_repeat_words / n_words", False),
+    "echoes": ("n_echoes / n_words", False),
+    "upper": ("n_upper / word_chars", False),
+    "word_length": ("word_chars / n_words", True),
+    "line_words": ("n_lines / n_words", False),
 }
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -109,35 +115,46 @@ def bucket(x: Column) -> Column:
 
 def sketches(counts: DataFrame) -> DataFrame:
     """Bucket counts (lang, source, rule, bucket, n): the mergeable sketches."""
-    rules = F.array(*[F.struct(F.lit(name).alias("rule"), bucket(_value(sql)).alias("bucket")) for name, (sql, _, _) in RULES.items()])
+    rules = F.array(*[F.struct(F.lit(name).alias("rule"), bucket(_value(sql)).alias("bucket")) for name, (sql, _) in RULES.items()])
     return counts.where("n_words > 0").select("lang", "source", F.explode(rules).alias("r")).groupBy("lang", "source", "r.rule", "r.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """Quartiles and size of each group of ``by`` and rule, from merged bucket counts.
+    """low, mid and high (quantiles TAIL, a half and 1 - TAIL; the outer ones as their buckets' outer edges), below and
+    above (mean distances of the values under and over the median from it) and size of each group of
+    ``by`` and rule, from merged bucket counts.
 
     A group has a few thousand buckets at most, however many documents."""
     merged = sketch.groupBy(*by, "rule", "bucket").agg(F.sum("n").alias("n"))
-    run = Window.partitionBy(*by, "rule").orderBy("bucket")
-    merged = merged.withColumns({"upto": F.sum("n").over(run), "total": F.sum("n").over(Window.partitionBy(*by, "rule"))})
-    value = F.when(F.col("bucket") == ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bucket")) * (2 / (GAMMA + 1)))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), value))
-    return merged.groupBy(*by, "rule").agg(at(0.25).alias("q25"), at(0.75).alias("q75"), F.max("total").alias("total"))
+    everything = Window.partitionBy(*by, "rule")
+    merged = merged.withColumns({"upto": F.sum("n").over(everything.orderBy("bucket")), "total": F.sum("n").over(everything), "value": _edge(0.0, 2 / (GAMMA + 1))})
+    at = lambda q, value: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), value))
+    merged = merged.withColumn("mid", at(0.5, F.col("value")).over(everything))
+    off = (F.col("value") - F.col("mid")) * F.col("n")
+    return merged.groupBy(*by, "rule").agg(
+        at(TAIL, _edge(-1.0, 1 - EDGE)).alias("low"), F.max("mid").alias("mid"), at(1 - TAIL, _edge(0.0, 1 + EDGE)).alias("high"),
+        (F.sum(F.greatest(-off, F.lit(0.0))) / F.max("total")).alias("below"), (F.sum(F.greatest(off, F.lit(0.0))) / F.max("total")).alias("above"), F.max("total").alias("total"),
+    )
+
+
+def _edge(up: float, times: float) -> Column:
+    return F.when(F.col("bucket") == ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bucket") + up) * times)
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """(lang, source, low_<rule>, high_<rule>): one row per group."""
     own = quantiles(sketch, "lang", "source")
-    lang = quantiles(sketch, "lang").select(F.col("lang").alias("l"), F.col("rule").alias("lr"), *[F.col(c).alias(f"l_{c}") for c in ("q25", "q75", "total")])
-    whole = quantiles(sketch).select(F.col("rule").alias("ar"), *[F.col(c).alias(f"a_{c}") for c in ("q25", "q75", "total")])
+    stats = [c for c in own.columns if c not in ("lang", "source", "rule")]
+    lang = quantiles(sketch, "lang").select(F.col("lang").alias("l"), F.col("rule").alias("lr"), *[F.col(c).alias(f"l_{c}") for c in stats])
+    whole = quantiles(sketch).select(F.col("rule").alias("ar"), *[F.col(c).alias(f"a_{c}") for c in stats])
     all_ = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("rule") == F.col("lr"))).join(F.broadcast(whole), F.col("rule") == F.col("ar"))  # one row per rule
     pick = lambda c: F.when(F.col("total") >= MIN_GROUP, F.col(c)).when(F.col("l_total") >= MIN_GROUP, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    width = F.create_map(*[x for name, (_, least, _) in RULES.items() for x in (F.lit(name), F.lit(least))])
-    all_ = all_.select("lang", "source", "rule", pick("q25").alias("q25"), pick("q75").alias("q75"), F.element_at(width, F.col("rule")).alias("least"))
-    reach = F.greatest(F.col("q75") - F.col("q25"), F.col("least")) * FENCE
-    all_ = all_.select("lang", "source", "rule", (F.col("q25") - reach).alias("low"), (F.col("q75") + reach).alias("high"))
+    all_ = all_.select("lang", "source", "rule", *[pick(c).alias(c) for c in stats])
+    low = F.col("low") - FENCE * F.greatest(F.col("mid") - F.col("low"), F.col("below"))
+    high = F.col("high") + FENCE * F.greatest(F.col("high") - F.col("mid"), F.col("above"))
+    all_ = all_.select("lang", "source", "rule", low.alias("low"), high.alias("high"))
     of = lambda c, name: F.max(F.when(F.col("rule") == name, F.col(c))).alias(f"{c}_{name}")
-    return all_.groupBy("lang", "source").agg(*[of("high", name) for name in RULES], *[of("low", name) for name, (_, _, below) in RULES.items() if below])
+    return all_.groupBy("lang", "source").agg(*[of("high", name) for name in RULES], *[of("low", name) for name, (_, below) in RULES.items() if below])
 
 
 def base_failed() -> Column:
@@ -145,13 +162,13 @@ def base_failed() -> Column:
 
 
 def judge(counts: DataFrame) -> DataFrame:
-    """Add base_failed, kept and failed_rules (names of the rules beyond their fences).
+    """Add base_failed, kept and failed_rules (names of the rules beyond their cutoffs).
 
     ``counts`` is read twice and should be materialised. Null languages and sources are groups of
     their own; documents without words fail the base."""
     limits = materialise(thresholds(sketches(counts)), "quality-limits").withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
     rows = counts.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    broken = [F.when((_value(sql) > F.col(f"high_{name}")) | (_value(sql) < F.col(f"low_{name}") if below else F.lit(False)), F.lit(name)) for name, (sql, _, below) in RULES.items()]
+    broken = [F.when((_value(sql) > F.col(f"high_{name}")) | (_value(sql) < F.col(f"low_{name}") if below else F.lit(False)), F.lit(name)) for name, (sql, below) in RULES.items()]
     rows = rows.withColumns({"failed_rules": F.array_compact(F.array(*broken)), "base_failed": base_failed()})
     return rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_lang", "_source", *[c for c in limits.columns if c.startswith(("low_", "high_"))])
 
@@ -166,16 +183,20 @@ def op3_sql() -> str:
     """The same in SQL, from the rules above."""
     gamma = repr(GAMMA)
     value = lambda sql: "CASE WHEN {1} > 0 THEN {0} / {1} ELSE 0.0 END".format(*sql.split(" / "))
-    quart = "min(CASE WHEN upto >= ceil(total * {}) THEN value END)"
+    edge = lambda up, times: f"CASE WHEN bucket = {ZERO} THEN 0.0 ELSE power({gamma}, bucket + {up}) * {times!r} END"
+    at = lambda q, value: f"min(CASE WHEN upto >= ceil(total * {q!r}) THEN {value} END)"
+    stats = ("low", "mid", "high", "below", "above", "total")
 
     def quantile(by: str) -> str:
         keys = f"{by}, " if by else ""
-        return f"""SELECT {keys}rule, {quart.format(0.25)} AS q25, {quart.format(0.75)} AS q75, max(total) AS total FROM (
-          SELECT {keys}rule, CASE WHEN bucket = {ZERO} THEN 0.0 ELSE power({gamma}, bucket) * {2 / (GAMMA + 1)!r} END AS value,
-            sum(n) OVER (PARTITION BY {keys}rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}rule) AS total
-          FROM (SELECT {keys}rule, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL"""
-
-    rules = " UNION ALL ".join(f"SELECT doc_id, lang, source, n_words, '{name}' AS rule, {least} AS least, {str(below).lower()} AS below, {value(sql)} AS x FROM m" for name, (sql, least, below) in RULES.items())
+        return f"""SELECT {keys}rule, {at(TAIL, edge(-1.0, 1 - EDGE))} AS low, max(mid) AS mid, {at(1 - TAIL, edge(0.0, 1 + EDGE))} AS high, sum(greatest((mid - value) * n, 0.0)) / max(total) AS below,
+          sum(greatest((value - mid) * n, 0.0)) / max(total) AS above, max(total) AS total FROM (
+          SELECT *, {at(0.5, "value")} OVER (PARTITION BY {keys}rule) AS mid FROM (
+          SELECT {keys}rule, bucket, n, {edge(0.0, 2 / (GAMMA + 1))} AS value, sum(n) OVER (PARTITION BY {keys}rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}rule) AS total
+          FROM (SELECT {keys}rule, bucket, sum(n) AS n FROM sketch GROUP BY ALL))) GROUP BY ALL"""
+
+    picked = ", ".join(f"CASE WHEN own.total >= {MIN_GROUP} THEN own.{c} WHEN bylang.total >= {MIN_GROUP} THEN bylang.{c} ELSE whole.{c} END AS {c}" for c in stats)
+    rules = " UNION ALL ".join(f"SELECT doc_id, lang, source, n_words, '{name}' AS rule, {str(below).lower()} AS under, {value(sql)} AS x FROM m" for name, (sql, below) in RULES.items())
     order = ", ".join(f"'{name}'" for name in RULES)
     return f"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -189,11 +210,10 @@ WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(
   v AS ({rules}),
   sketch AS (SELECT lang, source, rule, CASE WHEN x <= 0 THEN {ZERO} ELSE CAST(ceil(ln(x) / {math.log(GAMMA)!r}) AS INTEGER) END AS bucket, count(*) AS n FROM v WHERE n_words > 0 GROUP BY ALL),
   own AS ({quantile("lang, source")}), bylang AS ({quantile("lang")}), whole AS ({quantile("")}),
-  f AS (SELECT own.lang, own.source, own.rule, CASE WHEN own.total >= {MIN_GROUP} THEN own.q25 WHEN bylang.total >= {MIN_GROUP} THEN bylang.q25 ELSE whole.q25 END AS q25,
-    CASE WHEN own.total >= {MIN_GROUP} THEN own.q75 WHEN bylang.total >= {MIN_GROUP} THEN bylang.q75 ELSE whole.q75 END AS q75
+  f AS (SELECT own.lang, own.source, own.rule, {picked}
     FROM own JOIN bylang ON own.lang IS NOT DISTINCT FROM bylang.lang AND own.rule = bylang.rule JOIN whole ON own.rule = whole.rule),
   bad AS (SELECT doc_id, list(v.rule ORDER BY list_position([{order}], v.rule)) AS rules FROM v JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.rule = f.rule
-    WHERE x > q75 + greatest(q75 - q25, least) * {FENCE} OR below AND x < q25 - greatest(q75 - q25, least) * {FENCE} GROUP BY doc_id)
+    WHERE x > high + {FENCE} * greatest(high - mid, above) OR under AND x < low - {FENCE} * greatest(mid - low, below) GROUP BY doc_id)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND rules IS NULL AS kept, coalesce(array_to_string(rules, ','), '') AS failed_rules FROM m LEFT JOIN bad USING (doc_id)
 """

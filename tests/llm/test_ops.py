@@ -126,7 +126,17 @@ def test_sketches_merge_and_know_their_error(spark):
     parts = quality_rules.sketches(counts.where("source < 's2'")).unionByName(quality_rules.sketches(counts.where("source >= 's2'")))
     assert {x.rule: x for x in quality_rules.quantiles(parts).collect()} == whole
     v = sorted(x[3] / 100 for x in rows)
-    assert whole["word_length"].q25 == pytest.approx(v[999], rel=0.0101) and whole["word_length"].q75 == pytest.approx(v[2999], rel=0.0101)
+    x, mid = whole["word_length"], v[1999]
+    assert x.mid == pytest.approx(mid, rel=0.0101) and x.low == pytest.approx(v[399], rel=0.0201) and x.high == pytest.approx(v[3599], rel=0.0201)
+    assert x.above == pytest.approx(sum(max(y - mid, 0) for y in v) / 4000, rel=0.03) and x.below == pytest.approx(sum(max(mid - y, 0) for y in v) / 4000, rel=0.03)
+
+
+def test_cutoffs_follow_the_group(spark):
+    r = random.Random(2)
+    rows = [("en", "calm", 100, 500, 0, 0, 0, 10, 3, 0)] * 300 + [("en", "wild", 100, 500, 0, 0, 0, 10, int(r.uniform(0, 100)), 0) for _ in range(300)] + [("en", "calm", 100, 500, 0, 0, 0, 10, 20, 0)]
+    counts = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{c} long" for c in quality_rules.COUNTS))
+    kept = {(x.source, x.n_upper): x.kept for x in quality_rules.judge(counts).collect()}
+    assert kept["calm", 3] and not kept["calm", 20] and all(kept[k] for k in kept if k[0] == "wild")
 
 
 def test_verdict_agrees_with_labels(spark):
