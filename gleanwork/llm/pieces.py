@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanwork.llm import textbytes as tb
+from gleanwork.llm.shared import without
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -310,14 +311,12 @@ def compiled(model: bytes) -> Transducer:
 
 
 def tokenize(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """Every row of ``docs`` (with text) with ids, n_ids and round_trip: whether the ids decode to
-    the text. A null text is empty and has no ids. A text with the mark U+2581 itself, or blanks
+    """Every row of ``docs`` (with text) with ids, n_ids and round_trip (whether the ids decode to
+    the text), which replace columns of these names. A null text is empty and has no ids. A text with the mark U+2581 itself, or blanks
     that a trimming normaliser drops, does not come back. The model goes to executors by value."""
     with open(model_path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
-    clash = {"ids", "n_ids", "round_trip"} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are made here; rename them first")
+    docs = without(docs, "ids", "n_ids", "round_trip")
     names = [*docs.columns, "ids", "n_ids", "round_trip"]
 
     def run(batches):

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanwork.llm import textbytes as tb
+from gleanwork.llm.shared import without
 
 SHAPES, WORDS = 512, 256
 TERMS = SHAPES + WORDS + 1
@@ -60,7 +61,7 @@ def term_counts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def _blocks(batch):
     buf, offs = tb.column(batch.column("text"))
-    for lo, hi, b, o in tb.pieces(buf, offs, 1 << 20):
+    for lo, hi, b, o in tb.pieces(buf, offs, 1 << 18):
         yield lo, hi, term_counts(b, o)
 
 
@@ -103,10 +104,18 @@ def labelled_ids(labels: DataFrame, label: str, learn: Column, sample: int) -> l
     return [x for side in sides for x in side[:half]]
 
 
+def chosen_rows(docs: DataFrame, ids: list[tuple]) -> DataFrame:
+    """doc_id, text and y of the chosen documents, one row each: of rows with one doc_id that of the
+    least text. The keys are compared as text, so doc_id may have any type."""
+    keys = docs.sparkSession.createDataFrame([(str(i), y) for i, y in ids], "_key string, y int")  # as many rows as were chosen
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(keys), F.col("doc_id").cast("string") == F.col("_key"))
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
 def _counts_out(batches):
     for batch in batches:
         for lo, hi, x in _blocks(batch):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([row.tobytes() for row in x], pa.binary())], ["doc_id", "counts"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "y")), pa.array([row.tobytes() for row in x], pa.binary())], ["doc_id", "y", "counts"])
 
 
 def is_learnt() -> Column:
@@ -116,16 +125,14 @@ def is_learnt() -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """The model: idf, projection, vectors and labels. Documents repeated under one doc_id count once."""
-    spark = docs.sparkSession
-    ids = dict(labelled_ids(labels, "quality", is_learnt(), sample))
+    ids = labelled_ids(labels, "quality", is_learnt(), sample)
     idf = inverse_frequencies(docs)
-    if not ids:
+    rows = chosen_rows(docs, ids)
+    rows = sorted(rows.mapInArrow(_counts_out, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, y int, counts binary").collect(), key=lambda r: (str(r.doc_id), bytes(r.counts)))
+    if not rows:
         return {"idf": idf, "project": np.zeros((TERMS, 1), np.float32), "vectors": np.zeros((0, 1), np.float32), "y": np.zeros(0, np.float32)}
-    chosen = spark.createDataFrame([(i,) for i in ids], "doc_id long")  # `sample` rows at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(_counts_out, "doc_id long, counts binary").collect()
-    rows = sorted({r.doc_id: bytes(r.counts) for r in sorted(rows, key=lambda r: bytes(r.counts))}.items())
-    x = weigh(np.frombuffer(b"".join(c for _, c in rows), np.float32).reshape(-1, TERMS), idf)
-    y = np.array([ids[i] for i, _ in rows], np.float32)
+    x = weigh(np.frombuffer(b"".join(r.counts for r in rows), np.float32).reshape(-1, TERMS), idf)
+    y = np.array([r.y for r in rows], np.float32)
     _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))  # right singular vectors of x
     project = vectors[:, ::-1][:, :DIMS].astype(np.float32)
     return {"idf": idf, "project": project, "vectors": unit(x @ project), "y": y}
@@ -147,9 +154,9 @@ def vote(x: np.ndarray, model: dict) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
-    """Every row of ``docs`` with a column of scores."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    """Every row of ``docs`` with a column of scores, which replaces one of its name."""
+    docs = without(docs, column)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
     def run(batches):

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanwork.llm.shared import free_name
+from gleanwork.llm.shared import free_name, without
 
 #: Rounds of the network.
 ROUNDS = 6
@@ -74,14 +74,12 @@ def shard(df: DataFrame, shards: int, seed: int = 17, buckets: int = BUCKETS) ->
     """Every row of ``df`` with columns row_number, position, shard and slot.
 
     Law: row counts of shards differ by one at most; slots are gapless from 0. Nulls are values
-    like others, repeated rows each get a place, an empty table gives an empty one. Columns of
-    these names in ``df`` are an error of the caller.
+    like others, repeated rows each get a place, an empty table gives an empty one. They replace
+    columns of these names.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
-    clash = {"row_number", "position", "shard", "slot"} & {c.lower() for c in df.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are made here; rename them first")
+    df = without(df, "row_number", "position", "shard", "slot")
     total = free_name(df, "_total")
     out = permute(number_rows(df, "row_number", total, buckets), "row_number", total, seed, "position")
     return out.drop(total).withColumns({"shard": F.pmod("position", F.lit(shards)).cast("int"), "slot": F.floor(F.col("position") / shards).cast("long")})

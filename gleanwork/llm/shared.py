@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one
+    if the executors run on this machine; elsewhere that is an error, as no other machine sees it."""
     path = spark.conf.get("spark.checkpoint.dir", "") or ""
     jsc = spark.sparkContext._jsc.sc()
     if not path and jsc.getCheckpointDir().isDefined():
         path = jsc.getCheckpointDir().get()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "gleanwork-checkpoints")
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
@@ -59,3 +62,10 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name = "_" + name
     return name
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` less its columns of these names in any case: an operator's own columns replace them."""
+    made = {n.lower() for n in names}
+    clash = [c for c in df.columns if c.lower() in made]
+    return df.drop(*clash) if clash else df

@@ -3,8 +3,10 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from gleanwork.llm import pieces, quality_classifier, sharding, toxicity
 from gleanwork.llm.registry import QUERIES
 
 
@@ -13,6 +15,40 @@ def test_empty_tables(name, spark, nothing):
     assert QUERIES[name](spark, nothing).collect() == []
 
 
+def test_labels_without_their_documents(spark, edge, tmp_path):
+    """No documents at all, and none of one label: nothing is learnt, nothing is found, no row is lost."""
+    for keep in ("false", "doc_id between 200 and 214", "doc_id between 100 and 159", "doc_id between 300 and 314"):
+        sf = f"{tmp_path}/{keep.replace(' ', '-')}"
+        for name in ("documents", "labels", "benchmark"):
+            spark.read.parquet(f"{edge}/{name}.parquet").where(keep if name == "documents" else "true").write.parquet(f"{sf}/{name}.parquet")
+        n = spark.read.parquet(f"{sf}/documents.parquet").count()
+        got = QUERIES["op4_toxicity"](spark, sf).collect()
+        assert len(got) == n and not any(r.is_toxic for r in got)
+        assert QUERIES["op10_quality_classifier"](spark, sf).count() == n
+        corpus_pipeline.run(spark, sf).collect()
+
+
+def test_columns_of_the_same_names(spark, edge):
+    """An operator's columns replace the input's."""
+    docs = spark.read.parquet(f"{edge}/documents.parquet").where("doc_id between 100 and 320")
+    labels = spark.read.parquet(f"{edge}/labels.parquet")
+    names = ("P_Toxic", "p_insult", "IS_TOXIC", "Score", "ids", "round_trip", "slot", "ROW_NUMBER")
+    odd = docs.drop("score").withColumns({n: F.lit("old") for n in names})
+    out = toxicity.score(odd, toxicity.train(odd, labels))
+    assert out.where("p_toxic between 0 and 1").count() == 90 and out.schema["is_toxic"].dataType.simpleString() == "boolean"
+    assert quality_classifier.score(odd, quality_classifier.train(odd, labels)).where("score between 0 and 1").count() == 90
+    assert pieces.tokenize(odd).where("round_trip and size(ids) = n_ids").count() == 90
+    assert sharding.shard(odd, 3).where("slot >= 0 and row_number < 90").count() == 90
+
+
+def test_ids_of_other_types(spark, edge):
+    docs, labels = (spark.read.parquet(f"{edge}/{t}.parquet").withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"))) for t in ("documents", "labels"))
+    bad = [f"d{300 + i}" for i in range(15)]
+    got = {r.doc_id: r.is_toxic for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert all(got[i] for i in bad) and not any(got[f"d{100 + i}"] for i in range(60))
+    assert quality_classifier.classify(docs, labels).where("doc_id = 'd100'").first().predicted == 1
+
+
 def test_empty_pipeline(spark, nothing):
     assert corpus_pipeline.run(spark, nothing).collect() == []
 
