@@ -1,13 +1,21 @@
 """Log-likelihoods of whole documents under a gated recurrent language model learnt from the corpus.
 
-Word counts cover every training document. The vocabulary and the model's first predictions come
-from them; learning then runs in rounds, each over its share of all training documents: every
-partition learns from the parameters sent to it, and the results are averaged in a tree. Scoring sends the parameters and the counts of the most frequent words, both
-of bounded size; rarer words are joined to their counts by an equi-join.
+Word counts cover every training document; the vocabulary and the model's first predictions come
+from them. Texts are then turned into word numbers once, two bytes a token, on shared storage, which
+learning and scoring read.
+
+Learning runs in rounds, each over its share of all training documents. A round's documents are dealt
+by a hash of their values to learners, whose number follows from the tokens of the corpus and whose
+order of reading from the hash, so that the model does not depend on partitions. Every learner starts
+from the parameters sent to it and goes over each of its tokens once; the results are averaged in a
+tree. Scoring sends the parameters and the counts of the most frequent words, both of bounded size;
+rarer words are joined to their counts by an equi-join.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,15 +30,14 @@ VOCABULARY = 4096
 SENT = 1 << 19
 #: Rounds of learning; the training documents are dealt to them, so each is learnt from.
 ROUNDS = 3
-#: Windows that a partition learns in each round at least, going over its texts again where they are
-#: few, but not more often than this.
-WINDOWS, PASSES = 60, 3
-#: Tasks that average the partitions' parameters.
-AVERAGERS = 16
-#: Bytes of text scored side by side in a task.
-SCORED = 12 << 20
-#: Largest count that is told apart when the words to send are chosen.
-CAP = 1_000_000
+#: Tokens of a learner, and of those it learns side by side.
+LEARNER, SEGMENT = 2_000_000, 1_000_000
+#: Tokens scored side by side in a task.
+SCORED = 2_000_000
+#: Bytes of text turned into numbers at once.
+READ = 4 << 20
+#: Counts up to this are told apart when the words to send are chosen, larger ones by 64 steps an octave.
+APART = 65_536
 END = np.uint64(0x2545F4914F6CDD1D)
 #: Tail classes: what a word ends in (letter, digit, then groups of marks), times ASCII or not.
 ENDING = np.full(256, 7, np.int64)
@@ -123,30 +130,38 @@ class Words:
         return number, n
 
 
+def _grade(n: Column) -> Column:
+    """A number that rises with a count, with few values however large counts are."""
+    return F.when(n <= APART, n).otherwise(APART + F.floor((F.log2(n) - math.log2(APART)) * 64)).cast("long")
+
+
 def prepare(counts: DataFrame) -> dict:
     """Totals, the words to send and the first parameters. ``counts`` should be materialised."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    many = sorted((r.c, r.w) for r in counts.groupBy(F.least("n", F.lit(CAP)).alias("c")).agg(F.count(F.lit(1)).alias("w")).collect())  # CAP rows at most
+    graded = counts.withColumn("grade", _grade(F.col("n")))
     least, words = 1, distinct
-    for c, w in many:
+    for r in sorted(graded.groupBy("grade").agg(F.count(F.lit(1)).alias("w")).collect()):  # APART + 3000 rows at most
         if words <= SENT:
             break
-        words, least = words - w, c + 1
-    word, kind, n = _arrays(counts.where(F.col("n") >= least), "word", "kind", "n")
-    word = word.view(np.uint64)
-    top = np.lexsort((word, -n))[:VOCABULARY]
+        words, least = words - r.w, r.grade + 1
+    word, kind, n = _arrays(graded.where(F.col("grade") >= least), "word", "kind", "n")
+    word, top = word.view(np.uint64), counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()
+    top_word, top_kind, top_n = top.column("word").to_numpy().view(np.uint64), top.column("kind").to_numpy(), top.column("n").to_numpy()
+    more = ~np.isin(top_word, word)  # where more than SENT words are of the highest grade
+    word, n = np.concatenate([word, top_word[more]]), np.concatenate([n, top_n[more]])
     tails = np.zeros(gru.TAILS)
     for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("w")).collect():
-        own = kind[top] == r.kind
-        tails[r.kind] = r.n - n[top][own].sum() + 0.1 * (r.w - own.sum())
+        own = top_kind == r.kind
+        tails[r.kind] = r.n - top_n[own].sum() + 0.1 * (r.w - own.sum())
     tails += 0.1  # of an unseen word
+    heads = top_n.astype(np.float64)
     return {
-        "total": total, "distinct": distinct, "least": least, "words": Words(word, n, word[top]), "cuts": gru.split(n[top].astype(np.float64)),
-        "log_tails": np.log10(tails), "params": gru.start(n[top].astype(np.float64), tails), "end": int(np.flatnonzero(word[top] == END)[0]) if END in word[top] else -1,
+        "total": total, "distinct": distinct, "least": least, "words": Words(word, n, top_word), "cuts": gru.split(heads),
+        "log_tails": np.log10(tails), "params": gru.start(heads, tails), "end": int(np.flatnonzero(top_word == END)[0]) if END in top_word else -1,
     }
 
 
-NAMES = ("input", "state", "class_w", "class_b", "word_w", "word_b")
+NAMES = ("input", "state", "class", "word")
 
 
 def _pack(p: dict) -> bytes:
@@ -163,56 +178,98 @@ def _unpack(data: bytes, like: dict) -> dict:
 
 
 def _average(batches):
-    total, weight = None, 0.0
+    """The weighted mean of each group's parameters, added up in the order of learners."""
+    sums: dict[int, list] = {}
     for batch in batches:
-        for w, blob in zip(batch.column("weight").to_pylist(), batch.column("params"), strict=True):
+        for group, w, blob in zip(batch.column("group").to_pylist(), batch.column("weight").to_pylist(), batch.column("params"), strict=True):
             x = np.frombuffer(blob.as_py(), np.float32) * np.float64(w)
-            total, weight = x if total is None else total + x, weight + w
-    if weight:
-        yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["weight", "params"])
+            have = sums.setdefault(group, [0.0, 0.0])
+            have[0], have[1] = have[0] + x, have[1] + w
+    if sums:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*sums], pa.int32()), pa.array([w for _, w in sums.values()]), pa.array([(x / w).astype(np.float32).tobytes() for x, w in sums.values()], pa.binary())], ["group", "weight", "params"]
+        )
 
 
-def learn(train: DataFrame, model: dict) -> dict:
-    """The model after ROUNDS rounds of averaged learning that together go over all training documents."""
+def _runs(batches):
+    """(learner, tokens) of the sorted rows of a task, each learner's in segments of whole texts."""
+    now, held, size = None, [], 0
+    for batch in batches:
+        for learner, blob in zip(batch.column("learner").to_pylist(), batch.column("numbers"), strict=True):
+            x = np.frombuffer(blob.as_buffer(), NUMBER)
+            if held and (learner != now or size + len(x) > SEGMENT):
+                yield now, np.concatenate(held)
+                held, size = [], 0
+            now = learner
+            held.append(x)
+            size += len(x)
+    if held:
+        yield now, np.concatenate(held)
+
+
+def learn(numbers: DataFrame, model: dict) -> dict:
+    """The model after ROUNDS rounds of averaged learning that together go over all training documents.
+
+    Rows with the same doc_id and text are alike; they are counted, and dealt to learners as copies."""
     if model["end"] < 0 or not model["total"]:
         return model
-    context = train.sparkSession.sparkContext
+    context = numbers.sparkSession.sparkContext
+    rows = numbers.where("not held").select("key", "numbers")
+    again = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lm-copies")  # its size decides about a broadcast
+    copies = rows.join(again.select("key"), "key", "left_semi").groupBy("key").agg(F.first("numbers").alias("numbers"), F.count(F.lit(1)).alias("n"))
+    copies = copies.select("key", "numbers", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    rows = rows.join(again.select("key"), "key", "left_anti").select("key", "numbers", F.lit(1).alias("copy")).unionByName(copies)
+    learners = max(1, -(-model["total"] // (ROUNDS * LEARNER)))
+    dealt = F.xxhash64("key", "copy", F.lit(6))
+    rows = rows.withColumns({"round": F.pmod(dealt, F.lit(ROUNDS)), "learner": F.pmod(F.floor(dealt / ROUNDS), F.lit(learners)).cast("int")})
+    groups = math.isqrt(learners) + 1
     for r in range(ROUNDS):
         sent = context.broadcast(model)
 
         def run(batches, sent=sent):
-            m = sent.value
-            held = [m["words"].numbers(*tokens(buf, offs)[:2]) for b in batches for _, _, buf, offs in tb.pieces(*tb.column(b.column("text")), SCORED)]
-            held = np.concatenate(held) if held else np.zeros(0, np.int32)
-            p = {n: v.copy() for n, v in m["params"].items()}
-            seen, _ = gru.Learner(p, m["cuts"], m["end"]).learn(held, WINDOWS, PASSES)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([float(len(held))]), pa.array([_pack(p)], pa.binary())], ["weight", "params"])
-
-        part = train.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(ROUNDS)) == r).select("text")
-        made = part.mapInArrow(run, "weight double, params binary").repartition(AVERAGERS).mapInArrow(_average, "weight double, params binary").collect()  # AVERAGERS rows at most
+            m, now, learner, weight = sent.value, None, None, 0
+
+            def result():
+                return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([float(weight)]), pa.array([_pack(learner.p)], pa.binary())], ["learner", "weight", "params"])
+
+            for i, words in _runs(batches):
+                if i != now:
+                    if learner:
+                        yield result()
+                    now, learner, weight = i, gru.Learner({n: v.copy() for n, v in m["params"].items()}, m["cuts"], m["end"]), 0
+                learner.learn(words.astype(np.int64))
+                weight += len(words)
+            if learner:
+                yield result()
+
+        part = rows.where(F.col("round") == r).select("learner", "key", "copy", "numbers")
+        part = part.repartitionById(learners, "learner").sortWithinPartitions("learner", "key", "copy")
+        made = part.select("learner", "numbers").mapInArrow(run, "learner int, weight double, params binary").withColumn("group", F.pmod("learner", F.lit(groups)))
+        made = made.repartition(groups, "group").sortWithinPartitions("group", "learner").select("group", "weight", "params").mapInArrow(_average, "group int, weight double, params binary").collect()  # one row a group
         if made:
-            weights = np.array([x.weight for x in made])
-            mean = sum(np.frombuffer(x.params, np.float32) * np.float64(x.weight) for x in made) / weights.sum()
+            made = sorted(made, key=lambda x: x.group)
+            mean = sum(np.frombuffer(x.params, np.float32) * np.float64(x.weight) for x in made) / sum(x.weight for x in made)
             model = model | {"params": _unpack(mean.astype(np.float32).tobytes(), model["params"])}
     return model
 
 
-_FIELDS = "n_tokens long, n_known long, base double, score double, rest array<struct<word:long,n:long>>"
+#: Numbers are below VOCABULARY + gru.TAILS.
+NUMBER = np.dtype("<u2")
+_READ = "row long, key long, held boolean, numbers binary, n_tokens long, n_known long, base double, tail double, rest array<struct<word:long,n:long>>"
 
 
-def _scores(buf: np.ndarray, offs: np.ndarray, m: dict) -> list[pa.Array]:
-    p, k = m["params"], len(m["params"]["word_b"])
+def _read(buf: np.ndarray, offs: np.ndarray, m: dict) -> list[pa.Array]:
+    """Numbers of the tokens of some texts, and what counts alone say of them: known tokens, the sum of
+    log10(count + 0.1) over sent words, and that over tail words less their class's mass; words that weren't sent."""
+    k = len(m["params"]["word"])
     h, kind, offs = tokens(buf, offs)
     number, n = m["words"].find(h, kind)
     size = len(offs) - 1
     doc = np.repeat(np.arange(size), np.diff(offs))
     sent = n >= 0
     logs = np.where(sent, np.log10(np.maximum(n, 0) + 0.1), 0.0)
-    sums = lambda x, at: np.bincount(doc[at], weights=x[at], minlength=size)
-    everywhere, tail = np.ones(len(h), bool), number >= k
-    model = gru.score(p, m["cuts"], number, offs) / np.log(10)
-    model += sums(logs, tail) - sums(np.where(tail, m["log_tails"][np.where(tail, number - k, 0)], 0.0), tail)
+    tail = np.flatnonzero(number >= k)
+    tails = np.bincount(doc[tail], weights=logs[tail] - m["log_tails"][number[tail] - k], minlength=size)
     # words that weren't sent, with their number in each text
     at = np.flatnonzero(~sent)
     at = at[np.lexsort((h[at], doc[at]))]
@@ -221,7 +278,31 @@ def _scores(buf: np.ndarray, offs: np.ndarray, m: dict) -> list[pa.Array]:
     first = np.flatnonzero(new)
     rest = pa.StructArray.from_arrays([tb.as_long(h[at[first]]), pa.array(np.diff(np.append(first, len(at))))], ["word", "n"])
     bounds = np.searchsorted(doc[at[first]], np.arange(size + 1)).astype(np.int32)
-    return [pa.array(np.diff(offs)), pa.array(np.bincount(doc[sent], minlength=size)), pa.array(sums(logs, everywhere)), pa.array(model), pa.ListArray.from_arrays(pa.array(bounds), rest)]
+    numbers = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer((offs * NUMBER.itemsize).astype(np.int32)), pa.py_buffer(number.astype(NUMBER))])
+    return [numbers, pa.array(np.diff(offs)), pa.array(np.bincount(doc[sent], minlength=size)), pa.array(np.bincount(doc, weights=logs, minlength=size)), pa.array(tails), pa.ListArray.from_arrays(pa.array(bounds), rest)]
+
+
+def read(rows: DataFrame, model: dict) -> DataFrame:
+    """Every row (doc_id, text) with what ``_read`` finds, a row number and a key of its values."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, buf, offs in tb.pieces(*tb.column(batch.column("text")), READ):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "row", "key", "held")), *_read(buf, offs, sent.value)], ["doc_id", "row", "key", "held", "numbers", "n_tokens", "n_known", "base", "tail", "rest"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    given = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), held_out().alias("held"), "text")
+    return materialise(given.mapInArrow(run, f"doc_id {kind}, {_READ}"), "lm-numbers")  # the row numbers are fixed from here
+
+
+def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
+    """Word counts, texts as numbers, and the model learnt from them."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    counts = materialise(word_counts(rows.where(~held_out())), "lm-counts")
+    model = prepare(counts)
+    numbers = read(rows, model)
+    return counts, numbers, learn(numbers, model)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -229,30 +310,29 @@ def score(docs: DataFrame) -> DataFrame:
 
     A null text is empty: its one token is the end. Without training documents every word is
     unknown and the model's first predictions stand. Repeated rows are learnt and scored each."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    train = rows.where(~held_out())
-    counts = materialise(word_counts(train), "lm-counts")
-    model = learn(train, prepare(counts))
+    counts, numbers, model = fit(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        m = sent.value
         for batch in batches:
-            for lo, hi, buf, offs in tb.pieces(*tb.column(batch.column("text")), SCORED):
-                own = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "row")]
-                yield pa.RecordBatch.from_arrays([*own, *_scores(buf, offs, sent.value)], ["doc_id", "row", "n_tokens", "n_known", "base", "score", "rest"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    part = rows.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "text").mapInArrow(run, f"doc_id {kind}, row long, {_FIELDS}")
-    part = materialise(part, "lm-scores")  # the row numbers are fixed from here
-    rest = part.select("row", F.explode("rest").alias("x")).select("row", "x.word", F.col("x.n").alias("tf"))
+            buf, offs = tb.column(batch.column("numbers"))
+            for lo, hi, b, o in tb.pieces(buf, offs, SCORED * NUMBER.itemsize):
+                made = gru.score(m["params"], m["cuts"], b.view(NUMBER).astype(np.int64), o // NUMBER.itemsize) / np.log(10)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "row", "held", "n_tokens", "n_known", "base", "tail")), pa.array(made)], ["doc_id", "row", "held", "n_tokens", "n_known", "base", "tail", "model"])
+
+    kind = numbers.schema["doc_id"].dataType.simpleString()
+    scored = numbers.select("doc_id", "row", "held", "n_tokens", "n_known", "base", "tail", "numbers").mapInArrow(run, f"doc_id {kind}, row long, held boolean, n_tokens long, n_known long, base double, tail double, model double")
+    rest = numbers.select("row", F.explode("rest").alias("x")).select("row", "x.word", F.col("x.n").alias("tf"))
     # a word that is in many documents was sent, unless only held-out ones have it; the join splits such a word
-    rest = rest.join(counts.where(F.col("n") < model["least"]).select("word", "n"), "word", "left")
+    rest = rest.join(counts.where(_grade(F.col("n")) < model["least"]).select("word", "n"), "word", "left")
     rest = rest.groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more"), F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("tf"))), F.lit(0)).alias("known"))
+    rest = materialise(rest, "lm-rest")  # its size decides about a broadcast
     base = float(np.log10(model["total"] + 0.1 * (model["distinct"] + 1)))
     more = F.coalesce("more", F.lit(0.0))
-    return part.join(rest, "row", "left").select(
-        "doc_id", held_out().alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(model["total"])).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * base).alias("base_score"), (F.col("score") + more).alias("score"),
+    return scored.join(rest, "row", "left").select(
+        "doc_id", F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(model["total"])).cast("long").alias("train_tokens"),
+        (F.col("base") + more - F.col("n_tokens") * base).alias("base_score"), (F.col("model") + F.col("tail") + more).alias("score"),
     )
 
 
