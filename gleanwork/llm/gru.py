@@ -239,15 +239,24 @@ class Learner:
         own = p["word"][ws[:heads]]
         loss -= float(np.einsum("ij,ij->", hs[:heads], own))
         dh[:heads] -= own
-        for c in np.flatnonzero(np.diff(bounds)):
-            rows, w = slice(bounds[c], bounds[c + 1]), p["word"][cuts[c] : cuts[c + 1]]
-            e, total, top = _softmax(hs[rows], w, safe)
-            loss += float(np.log(total).sum() + np.sum(top))
-            share = (1 / total)[:, None]
-            np.matmul(e.T, hs[rows] * share, out=by_word[cuts[c] : cuts[c + 1]])
-            d = e @ w
-            d *= share
-            dh[rows] += d
+        totals, lowered = np.ones(heads, h.dtype), 0.0
+        ends, cut, ones, word = bounds.tolist(), cuts.tolist(), np.ones(k, h.dtype), p["word"]
+        for a, b, lo, hi in zip(ends, ends[1:], cut, cut[1:], strict=False):  # few numpy calls: there are many small classes
+            if a == b:
+                continue
+            x, w = hs[a:b], word[lo:hi]
+            e = x @ w.T
+            if not safe:
+                top = e.max(1, keepdims=True)
+                e -= top
+                lowered += float(top.sum())
+            np.exp(e, e)
+            total = e @ ones[: hi - lo]
+            totals[a:b] = total
+            e /= total[:, None]
+            np.matmul(e.T, x, out=by_word[lo:hi])
+            dh[a:b] += e @ w
+        loss += float(np.log(totals).sum()) + lowered
         _less(by_word, ws[:heads], hs[:heads])
         self._move("class", by_class / m)
         self._move("word", by_word / m)

@@ -492,9 +492,55 @@ def test_pages(spark):
 
 
 def test_classes_share_vectors(spark):
-    pages = spark.createDataFrame([(i, "http://h/x", f"<html><body><div class=a>same</div><article><p>{prose(i, 30)}</p></article></body></html>") for i in range(6)], "page_id long, url string, html string")
-    (t,) = html_extract.templates(html_extract.with_host(pages)).collect()
-    assert t.main == ">html>body>article" and len(t.texts) == 1 and t.classes == 1
+    rows = [(i, "http://h/x", f"<html><body><div class=a>same</div><article><p>{prose(i, 30)}</p></article></body></html>") for i in range(6)]
+    make = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string")
+    (t,) = html_extract.templates(html_extract.with_host(make(rows))).collect()
+    assert t.main == ">html>body>article" and len(t.texts) == 1 and t.classes == 1 and t.gone == [">html>body>div.a"]
+    (twice,) = html_extract.templates(html_extract.with_host(make(rows + rows))).collect()  # every row twice
+    assert twice == t
+    (parts,) = html_extract.templates(html_extract.with_host(make(rows).repartition(5))).collect()
+    assert parts == t
+
+
+def test_classes_nest():
+    row = lambda kind, path, vector, chars=0, linked=0: {"kind": kind, "token": hash((kind, path)), "path": path, "vector": vector, "pages": 9, "chars": chars, "linked": linked, "heads": 0}
+    both = lambda path, vector, chars, linked=0: [row("open", path, vector, chars, linked), row("close", path, vector)]
+    rows = [*both(">body", 1, 0), *both(">body>div.x", 1, 10), *both(">body>div.x>section", 2, 900), *both(">body>div.y", 1, 300, 290), row("open", ">body>div.z", 3, 50)]
+    slots, _, n = html_extract.tree(rows)
+    assert n == 2 and slots[">body>div.x>section"].up is slots[">body>div.x"] and ">body>div.z" not in slots  # never closed: not valid
+    got = html_extract.deduce(rows)
+    assert (got["main"], got["gone"], got["around"]) == (">body>div.x>section", [">body>div.y"], False)
+
+
+def without_telling_names(i, k):
+    """A page of tables and divs with numbered classes: menu, teaser, text with a line on every page, remarks, imprint."""
+    menu = "".join(f"<a href=/{j}>{prose(5000 + i * 10 + j, 2)}</a> " for j in range(8))
+    text = [prose(100 * i + j, 60).replace("\n", "") for j in range(k)]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    page = f"<html><body><div class=c1>{menu}</div><div class=c2>{prose(9000 + i, 3)}</div><div class=c3><h1>Title {i}</h1><div class=c4>{body}<p>Read it in our app</p></div><div class=c5>{menu}</div></div><div class=c6>All rights {i}</div></body></html>"
+    return page, "\n".join([f"Title {i}", *text])
+
+
+def test_pages_without_telling_names(spark):
+    made = [without_telling_names(i, 4 + i % 3) for i in range(8)]
+    rows = [(i, "http://plain/x", page) for i, (page, _) in enumerate(made)]
+    rows += [(100 + i, "http://search/x", page.replace("class=c4", "class=search-results").replace("class=c3", "class='comments'")) for i, (page, _) in enumerate(made)]  # names that would mislead
+    pages = spark.createDataFrame(rows + rows, "page_id long, url string, html string")
+    got = html_extract.extract(pages).collect()
+    assert len(got) == 32 and all(r.text == made[r.page_id % 100][1] for r in got)
+    by_names = [html_extract._main_text(page, None) for _, _, page in rows]
+    assert sum(text != made[i % 8][1] for i, text in enumerate(by_names)) == 16  # the template decides on every page
+
+
+def test_stray_quotes(spark):
+    odd = ["<article><p data-x=5\" >Hello</p><p>more</p></article>", "<article><p title=it's>Hello</p><p>more</p></article>", "<article><p title='a>b' class=\"c>d\">Hello</p><p x=\"open>more</p></article>"]
+    rows = [(i, f"http://{i}/", page) for i, page in enumerate(odd)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == ["Hello\nmore"] * 3
+
+
+def test_names_match_whole_words():
+    assert all(html_extract.is_marked(x) for x in ("ad", "cookie-notice", "site_footer", "a.comments", "post-comments")) and not any(html_extract.is_marked(x) for x in ("address", "product-search-results", "shadow", ""))
 
 
 # ---------------------------------------------------------------- 8
