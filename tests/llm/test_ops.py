@@ -547,23 +547,28 @@ def test_names_match_whole_words():
 
 
 def brute_leaks(docs, items):
+    """Every window of an item's length at every start."""
     words = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
     runs = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] or ([tuple(w)] if w else [])
     items = {i: runs(words(t)) for i, t in items.items() if words(t)}
     df = Counter(h for v in items.values() for h in set(v))
-    weight = lambda h: 1 / (1 + math.log(df[h])) if df[h] else 1.0
     out = {}
     for d, t in docs.items():
         sh = runs(words(t or ""))
         for i, v in items.items():
             a = Counter(v)
+            if not set(a) & set(sh):
+                continue
+            weight = lambda h: 1 / (1 + math.log(df[h])) if h in a else 1.0
+            best = (0.0, 0)
             for s in range(len(sh)):
                 b = Counter(sh[s : s + len(v)])
-                if sh[s] in df and set(a) & set(b):
+                if set(a) & set(b):
                     keys = set(a) | set(b)
                     sim = round(sum(weight(h) * min(a[h], b[h]) for h in keys) / sum(weight(h) * max(a[h], b[h]) for h in keys), 6)
-                    if sim >= 0.8 and sim > out.get((d, i), (0, 0))[0]:
-                        out[d, i] = (sim, s)
+                    best = max(best, (sim, -s if sh[s] in a else -len(sh) - 1))
+            if best[0] >= 0.8:
+                out[d, i] = (best[0], -best[1])
     return out
 
 
@@ -590,15 +595,34 @@ def test_leaks_on_documents(spark):
     assert got == set(brute_leaks(docs, items)) and got
 
 
-def test_blocks_guarantee_the_radius():
-    cuts = [64 * i // (decontaminate.RADIUS + 1) for i in range(decontaminate.RADIUS + 2)]
+def test_blocks_guarantee_the_radius(spark):
+    from pyspark.sql import functions as F
+
     r = random.Random(2)
-    for _ in range(500):
-        a = r.getrandbits(64)
-        b = a
+    pairs = []
+    for _ in range(300):
+        a = b = r.getrandbits(64)
         for k in r.sample(range(64), decontaminate.RADIUS):
             b ^= 1 << k
-        assert any((a >> lo) % (1 << hi - lo) == (b >> lo) % (1 << hi - lo) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True))
+        pairs.append((decontaminate._signed(a), decontaminate._signed(b)))
+    df = spark.createDataFrame(pairs, "a long, b long")
+    near_ = F.size(F.array_intersect(decontaminate.window_blocks(F.col("a")), decontaminate.item_blocks(F.col("b"), decontaminate.RADIUS)))
+    assert df.where(near_ > 0).count() == df.where(decontaminate.first_block(F.col("a"), F.col("b"), decontaminate.RADIUS).isNotNull()).count() == 300
+
+
+def test_long_items(spark):
+    import time
+
+    item = prose(77, 3000, 2000)
+    docs = spark.createDataFrame([(1, prose(78, 500) + " " + near(item, 5, 20) + " " + prose(79, 300)), (2, item)], "doc_id long, text string")
+    for _ in range(2):
+        began = time.time()
+        got = {r.doc_id: r.similarity for r in decontaminate.find(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+        took = time.time() - began
+    assert got[2] == 1.0 and 0.8 < got[1] < 1 and took < 30
+    long = " ".join(f"w{i}" for i in range(40_000))  # beyond the 32,767 that 16 bits would count
+    (r,) = decontaminate.find(spark.createDataFrame([(1, long + " more")], "doc_id long, text string"), spark.createDataFrame([(1, long)], "item_id long, text string")).collect()
+    assert (r.similarity, r.start) == (1.0, 0)
 
 
 # ---------------------------------------------------------------- 9
