@@ -8,17 +8,40 @@ from pyspark.sql import functions as F
 FULL_TEXT, NAME_ONLY = "FullText", "FileNameOnly"
 DEFAULT_COLOR = "#64748B"
 
-# Extensions (and icon labels) by category.
-TYPES = {
-    "doc": "doc=DOC docx=DOC rtf=RTF",
-    "sheet": "xls=XLS xlsx=XLS csv=CSV",
-    "ppt": "ppt=PPT pptx=PPT",
-    "pdf": "pdf=PDF",
-    "text": "txt=TXT md=MD log=LOG epub=EPUB",
-    "code": "html=HTM json=JSON xml=XML yaml=YML py=PY java=JAVA c=C cpp=CPP js=JS ts=TS css=CSS ini=INI cfg=CFG sql=SQL bat=BAT sh=SH ps1=PS1",
-}
-CATEGORIES = ("all", *TYPES)
-ROWS = [(ext, category, icon, NAME_ONLY if category == "ppt" else FULL_TEXT) for category, types in TYPES.items() for ext, icon in (t.split("=") for t in types.split())]
+# Extension, category, icon label and how far the type is indexed.
+ROWS = [
+    ("doc", "doc", "DOC", FULL_TEXT),
+    ("docx", "doc", "DOC", FULL_TEXT),
+    ("rtf", "doc", "RTF", FULL_TEXT),
+    ("xls", "sheet", "XLS", FULL_TEXT),
+    ("xlsx", "sheet", "XLS", FULL_TEXT),
+    ("csv", "sheet", "CSV", FULL_TEXT),
+    ("ppt", "ppt", "PPT", NAME_ONLY),
+    ("pptx", "ppt", "PPT", NAME_ONLY),
+    ("pdf", "pdf", "PDF", FULL_TEXT),
+    ("txt", "text", "TXT", FULL_TEXT),
+    ("md", "text", "MD", FULL_TEXT),
+    ("log", "text", "LOG", FULL_TEXT),
+    ("epub", "text", "EPUB", FULL_TEXT),
+    ("html", "code", "HTM", FULL_TEXT),
+    ("json", "code", "JSON", FULL_TEXT),
+    ("xml", "code", "XML", FULL_TEXT),
+    ("yaml", "code", "YML", FULL_TEXT),
+    ("py", "code", "PY", FULL_TEXT),
+    ("java", "code", "JAVA", FULL_TEXT),
+    ("c", "code", "C", FULL_TEXT),
+    ("cpp", "code", "CPP", FULL_TEXT),
+    ("js", "code", "JS", FULL_TEXT),
+    ("ts", "code", "TS", FULL_TEXT),
+    ("css", "code", "CSS", FULL_TEXT),
+    ("ini", "code", "INI", FULL_TEXT),
+    ("cfg", "code", "CFG", FULL_TEXT),
+    ("sql", "code", "SQL", FULL_TEXT),
+    ("bat", "code", "BAT", FULL_TEXT),
+    ("sh", "code", "SH", FULL_TEXT),
+    ("ps1", "code", "PS1", FULL_TEXT),
+]
+CATEGORIES = ("all", *dict.fromkeys(r[1] for r in ROWS))
 EXTENSIONS = [r[0] for r in ROWS]
 SCHEMA = "extension string, category string, icon_label string, strategy string"
 _BY_EXTENSION = {r[0]: r for r in ROWS}

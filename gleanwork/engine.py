@@ -1,8 +1,7 @@
 """The engine: profiles, indexing and search.
 
-An index is a folder of snapshots, each with its documents, postings and manifest; the file CURRENT
-names the one that readers use. A run writes a whole new snapshot and then moves the name, so a
-crash or a lost executor leaves the old one in place.
+A run brings an index up to its root's present state in commits of some hundred files, each a segment
+(see ``segments.py``): between them it can be paused or cancelled, and what was committed stays.
 """
 
 from __future__ import annotations
@@ -21,13 +20,14 @@ from gleanwork.operators import highlight, index, manifest
 from gleanwork.plans import planner
 from gleanwork.plans.query import Query, Scope, parse
 from gleanwork.profiles import Profile, ProfileStore, evaluate_status
+from gleanwork.segments import IndexTable, files_of
 from gleanwork.sources import extract as ex
 from gleanwork.sources import scan as sc
 from gleanwork.sources import storage
 from gleanwork.sources.extract.router import NAME_ONLY_REASON, UNKNOWN_TYPE
 
-#: Snapshots that stay for readers of older ones.
-KEPT = 2
+#: Files of a commit, and commits of a run: beyond, each takes more files.
+COMMIT_EVERY, MOST_COMMITS = manifest.COMMIT_EVERY, 64
 
 
 @dataclass(frozen=True)
@@ -48,54 +48,6 @@ class SearchResult:
     total_hits: int
 
 
-class IndexTable:
-    """An index's tables on storage."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def current(self) -> int | None:
-        raw = storage.read_text(self.spark, f"{self.path}/CURRENT")
-        return int(raw) if raw and raw.strip().isdigit() else None
-
-    def exists(self) -> bool:
-        return self.current() is not None
-
-    def read(self, table: str) -> DataFrame:
-        """A table of the current snapshot; empty before the first."""
-        n = self.current()
-        schema = {"docs": schemas.DOCS, "postings": schemas.POSTINGS, "manifest": schemas.MANIFEST}[table]
-        return self.spark.createDataFrame([], schema) if n is None else self.spark.read.schema(schema).parquet(f"{self.path}/snapshots/{n}/{table}")
-
-    def commit(self, docs: DataFrame, files: DataFrame) -> int:
-        """Write a snapshot and make it the current one. Postings are sorted by term, so that a
-        search reads few row groups."""
-        n = (self.current() or 0) + 1
-        to = f"{self.path}/snapshots/{n}"
-        docs.write.mode("overwrite").parquet(f"{to}/docs")
-        files.write.mode("overwrite").parquet(f"{to}/manifest")
-        stored = self.spark.read.schema(schemas.DOCS).parquet(f"{to}/docs")
-        index.postings(stored).repartitionByRange("field", "term", "path").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{to}/postings")
-        storage.write_text(self.spark, f"{self.path}/CURRENT", str(n))
-        storage.delete(self.spark, f"{self.path}/snapshots/{n - KEPT}")
-        return n
-
-    def upsert(self, new: DataFrame) -> int:
-        return self.commit(index.update(self.read("docs"), new), self.read("manifest"))
-
-    def append(self, new: DataFrame) -> int:
-        return self.commit(self.read("docs").unionByName(new), self.read("manifest"))
-
-    def delete(self, gone: DataFrame) -> int:
-        return self.commit(index.remove(self.read("docs"), gone), manifest.delete(self.read("manifest"), gone))
-
-    def truncate(self) -> int:
-        return self.commit(self.read("docs").limit(0), self.read("manifest").limit(0))
-
-    def count(self) -> int:
-        return self.read("docs").count()
-
-
 class Engine:
     def __init__(self, spark: SparkSession, home: str, router: ex.Router | None = None):
         self.spark, self.router = spark, router or ex.Router()
@@ -127,13 +79,15 @@ class Engine:
     def index(self, profile: Profile, rebuild: bool = False, control: RunControl | None = None, on_progress: Callable[[Progress], None] | None = None) -> IndexingSummary:
         """Bring the index up to the root's present state.
 
-        A rebuild reads every file again. Rows below directories that can't be read stay; a root
+        A rebuild reads every file again and is one commit. While one process indexes, others that try
+        get ``storage.Locked``. Rows below directories that can't be read stay; a root
         that can't be reached leaves the index as it is and raises SourceUnavailable."""
         if profile.id in self._running:
             raise RuntimeError(f"{profile.name} is being indexed")
         self._running.add(profile.id)
         try:
-            return self._index(profile, rebuild, control or RunControl(), on_progress or (lambda _: None))
+            with IndexTable(self.spark, profile.storage_path).lock():
+                return self._index(profile, rebuild, control or RunControl(), on_progress or (lambda _: None))
         finally:
             self._running.discard(profile.id)
 
@@ -144,9 +98,9 @@ class Engine:
         control.checkpoint()
         files, closed, failed = sc.scan(self.spark, profile.root_path, profile.included_extensions)
         files = files.withColumn("path", T.normalize_path("path")).persist()
-        old_docs, old_files = table.read("docs"), table.read("manifest")
+        old_files = table.read("manifest")
         if rebuild:
-            old_docs, old_files = old_docs.limit(0), old_files.limit(0)
+            old_files = old_files.limit(0)
         changes = manifest.diff(files, old_files, incremental=incremental)
         hidden = F.lit(False)
         for d in [*(c.rstrip("/") + "/" for c in closed), *failed]:
@@ -160,30 +114,27 @@ class Engine:
         on_progress(progress)
         control.checkpoint()
 
-        todo = files.join(changes.where(F.col("status").isin(schemas.ADDED, schemas.UPDATED)).select("path"), "path")
+        todo = files.join(changes.where(F.col("status").isin(schemas.ADDED, schemas.UPDATED)).select("path", "status"), "path")
         known, name_only = catalog.category(F.col("extension")).isNotNull() | F.col("extension").isin([*self.router.readers]), F.coalesce(catalog.strategy_of(F.col("extension")) == catalog.NAME_ONLY, F.lit(False))
         todo = todo.withColumn("gate", manifest.gate(known, name_only, F.col("size_bytes"), profile.max_content_bytes)).persist()
-        read = sc.contents(self.spark, profile.root_path, todo.where("gate = 'extract'"), profile.max_content_bytes)
-        got = ex.extract(read, self.router)
-        limit = profile.max_content_bytes // 2**20
-        reason = F.when(F.col("gate") == "unknown_type", UNKNOWN_TYPE).when(F.col("gate") == "name_only", NAME_ONLY_REASON).when(F.col("gate") == "too_large", f"文件超过 {limit} MB 上限").otherwise(F.coalesce("failure_reason", F.when(F.col("success").isNull(), F.lit("文件无法读取"))))
-        done = F.coalesce("success", F.lit(False))
-        new = todo.join(got, "path", "left").select("path", "extension", "size_bytes", "last_write_time", F.when(done, F.col("content")).otherwise("").alias("content"), done.alias("content_indexed"), F.when(~done, reason).alias("skip_reason"))
-        fresh = index.map_documents(new, profile.id)
-        control.checkpoint()
-
-        gone = changes.where(F.col("status") != schemas.UNCHANGED).select("path")
-        docs = index.remove(old_docs, gone).unionByName(fresh)
-        # the new rows' manifest comes from the files, whether or not their text could be read
-        at = F.current_timestamp()
-        rows = fresh.select("path", "size_bytes", "last_write_time", at.alias("indexed_at"), "content_indexed")
-        table.commit(docs, manifest.delete(old_files, gone).unionByName(rows))
+        n_todo = counts.get(schemas.ADDED, 0) + counts.get(schemas.UPDATED, 0)
+        parts = 1 if rebuild else max(1, min(MOST_COMMITS, -(-n_todo // COMMIT_EVERY)))
+        own = F.lit(profile.id).alias("profile_id")
+        removed = changes.where(F.col("status") == schemas.REMOVED).select(own, "path")
+        for i in range(parts):
+            control.checkpoint()
+            part = todo.where(F.pmod(F.xxhash64("path"), F.lit(parts)) == i).persist()
+            if n_todo or counts.get(schemas.REMOVED) or not table.exists() or rebuild:
+                fresh = self._read(profile, part)
+                gone = part.where(F.col("status") == schemas.UPDATED).select(own, "path")
+                table.commit(fresh, files_of(fresh), removed.unionByName(gone) if i == 0 else gone, everything=rebuild)
+            done = part.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("size")).first()
+            part.unpersist()
+            progress.indexed, progress.bytes_indexed = progress.indexed + done.n, progress.bytes_indexed + done.size
+            progress.scanned = progress.unchanged + progress.indexed
+            progress.seconds = time.monotonic() - began - control.total_paused()
+            on_progress(progress)
         final = table.count()
-        progress.indexed = counts.get(schemas.ADDED, 0) + counts.get(schemas.UPDATED, 0)
-        progress.scanned = progress.total
-        progress.bytes_indexed = todo.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0]
-        progress.seconds = time.monotonic() - began - control.total_paused()
-        on_progress(progress)
         for df in (files, changes, todo):
             df.unpersist()
         stats = manifest.stats(table.read("manifest")).first()
@@ -193,6 +144,16 @@ class Engine:
         n = lambda s: counts.get(s, 0)
         return IndexingSummary(n(schemas.ADDED), n(schemas.UPDATED), n(schemas.REMOVED), n(schemas.UNCHANGED), len(failed), final)
 
+    def _read(self, profile: Profile, todo: DataFrame) -> DataFrame:
+        """The documents of some files; those that aren't or can't be read have a reason in place of their text."""
+        read = sc.contents(self.spark, profile.root_path, todo.where("gate = 'extract'"), profile.max_content_bytes)
+        got = ex.extract(read, self.router)
+        limit = profile.max_content_bytes // 2**20
+        reason = F.when(F.col("gate") == "unknown_type", UNKNOWN_TYPE).when(F.col("gate") == "name_only", NAME_ONLY_REASON).when(F.col("gate") == "too_large", f"文件超过 {limit} MB 上限").otherwise(F.coalesce("failure_reason", F.when(F.col("success").isNull(), F.lit("文件无法读取"))))
+        done = F.coalesce("success", F.lit(False))
+        new = todo.join(got, "path", "left").select("path", "extension", "size_bytes", "last_write_time", F.when(done, F.col("content")).otherwise("").alias("content"), done.alias("content_indexed"), F.when(~done, reason).alias("skip_reason"))
+        return index.map_documents(new, profile.id)
+
     # ------------------------------------------------------------ search
 
     def search(self, raw: str | None, scope: Scope = Scope.BOTH, profile_ids: list[str] | None = None, k: int = planner.TOP, highlights: bool = True, category: str | None = None, filter_before_limit: bool = False, norm: str = "lucene") -> SearchResult:
@@ -237,7 +198,10 @@ def search(query: Query, docs: DataFrame, postings: DataFrame, k: int = planner.
     best = planner.top(hits, k)
     if wanted is not None and not filter_before_limit:
         best = best.where(wanted)
-    page = docs.join(F.broadcast(best), list(planner.KEYS))  # k rows
+    rows = best.collect()  # k at most; the hits needn't be kept any longer
+    hits.unpersist()
+    best = docs.sparkSession.createDataFrame(rows, best.schema)
+    page = docs.join(F.broadcast(best), list(planner.KEYS))
     marks = ("file_name_highlight", "content_highlight")
     page = highlight.with_highlights(page, query) if highlights else page.withColumns({c: F.lit(None).cast("string") for c in marks})
     columns = [c.split()[0] for c in schemas.RESULT.split(", ")]

@@ -12,6 +12,14 @@ EPOCH_TICKS = 621355968000000000
 MARK_OPEN, MARK_CLOSE = "<mark>", "</mark>"
 
 
+# What states are called, the names of their colours, and what stands in place of a preview.
+STATUS_TEXT = {"Ok": "可用", "NeedsUpdate": "待更新", "Building": "构建中", "SourceUnavailable": "源盘离线（可搜索）", "Error": "索引错误"}
+STATUS_TEXT_ELSE = "未知"
+STATUS_BRUSH = {"Ok": "StatusOkBrush", "NeedsUpdate": "StatusNeedsUpdateBrush", "Building": "StatusBuildingBrush", "SourceUnavailable": "StatusSourceUnavailableBrush", "Error": "StatusErrorBrush"}
+STATUS_BRUSH_ELSE = "TextTertiaryBrush"
+NO_FRAGMENT, NO_PREVIEW = "未匹配到内容片段", "此文件类型暂不支持内容预览（仅按文件名索引）"
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -141,3 +149,20 @@ def parse_highlight(markup: Column | str) -> Column:
         return F.when((i > 0) & (at > 0), closed).otherwise(F.array(plain(p)))
 
     return F.filter(F.flatten(F.transform(pieces, part)), lambda s: s["text"] != "")
+
+
+def _named(key: Column | str, names: dict[str, str], other: str) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), _c(key)), F.lit(other))
+
+
+def status_text(status: Column | str) -> Column:
+    return _named(status, STATUS_TEXT, STATUS_TEXT_ELSE)
+
+
+def status_brush(status: Column | str) -> Column:
+    return _named(status, STATUS_BRUSH, STATUS_BRUSH_ELSE)
+
+
+def preview_hint(content_indexed: Column | str) -> Column:
+    """What a result without a marked fragment shows."""
+    return F.when(_c(content_indexed), NO_FRAGMENT).otherwise(NO_PREVIEW)

@@ -1,8 +1,11 @@
-"""Index tables: documents, and postings with positions and field lengths."""
+"""Index tables: documents, and postings with positions and field lengths.
+
+A document is one row, so its terms are gathered within the row: tokens are sorted with their
+positions and cut into runs. Nothing is shuffled to make postings."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanwork.functions import text as T
@@ -32,15 +35,44 @@ def tokens(docs: DataFrame, tokenizer=T.analyze) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where lambdas read it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def runs(toks: Column) -> Column:
+    """(term, positions) of each distinct token of an array, in time that sorting it takes."""
+
+    def cut(pairs: Column) -> Column:
+        n = F.size(pairs)
+        new = lambda k: (k == 1) | (F.get(pairs, k - 1)["term"] != F.get(pairs, F.greatest(k - 2, F.lit(0)))["term"])
+        firsts = F.when(n > 0, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), new)).otherwise(F.array().cast("array<int>"))
+        run = lambda ends: lambda k, j: F.struct(F.get(pairs, k - 1)["term"].alias("term"), F.transform(F.slice(pairs, k, F.coalesce(F.get(ends, j + 1), n + 1) - k), lambda p: p["pos"]).alias("positions"))
+        return _let(firsts, lambda ends: F.transform(ends, run(ends)))
+
+    return _let(F.array_sort(F.transform(toks, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))), cut)
+
+
 def postings(docs: DataFrame, tokenizer=T.analyze) -> DataFrame:
-    """(profile_id, field, term, path, tf, positions, field_len). Groups are the terms of one document."""
-    rows = tokens(docs, tokenizer).groupBy("profile_id", "field", "term", "path", "field_len").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return rows.select("profile_id", "field", "term", "path", "tf", "positions", "field_len")
+    """(profile_id, field, term, path, tf, positions, field_len): a row per document, field and term."""
+    parts = []
+    for field, column in ((NAME, "file_name"), (CONTENT, "content")):
+        toks = docs.select("profile_id", "path", tokenizer(F.col(column)).alias("toks")).withColumn("field_len", F.size("toks").cast("long"))
+        rows = toks.select("profile_id", "path", "field_len", F.explode(runs(F.col("toks"))).alias("run"))
+        parts.append(rows.select("profile_id", F.lit(field).alias("field"), "run.term", "path", F.size("run.positions").cast("long").alias("tf"), "run.positions", "field_len"))
+    return parts[0].unionByName(parts[1])
+
+
+def frequencies(docs: DataFrame, field: str = CONTENT, tokenizer=T.analyze) -> DataFrame:
+    """(term, df): documents that have each term; distinct terms of a row are counted before the one shuffle."""
+    column = "file_name" if field == NAME else "content"
+    return docs.select(F.explode(F.array_distinct(tokenizer(F.col(column)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def update(docs: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("profile_id", "path")) -> DataFrame:
-    """Delete by key, then insert."""
-    return docs.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
+def update(docs: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("profile_id", "path"), order: tuple[str, ...] = ()) -> DataFrame:
+    """Delete by key, then insert; of a key that ``new`` holds several times, its last row (see ``manifest.latest``)."""
+    new = manifest.latest(new, keys, *order)
+    return docs.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
 
 
 def remove(docs: DataFrame, gone: DataFrame, key: str = "path") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanwork.schemas import ADDED, FAILED, REMOVED, UNCHANGED, UPDATED
+from gleanwork.sources.storage import stored
 
 COMMIT_EVERY = 500
 
@@ -25,17 +26,21 @@ def diff(current: DataFrame, previous: DataFrame, key: str = "path", same: tuple
     return both.select(key, status.alias("status"))
 
 
-def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """Of each key the row with the greatest ``order`` columns, by one aggregation that combines
-    before the shuffle; no window sorts a key's rows."""
-    rest = [c for c in rows.columns if c != key and c not in order]
-    best = rows.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("_row"))
-    return best.select(*[F.col(c) if c == key else F.col(f"_row.{c}").alias(c) for c in rows.columns])
+def latest(rows: DataFrame, key: str | tuple[str, ...], *order: str) -> DataFrame:
+    """Of each key the row with the greatest ``order`` columns, and of those the greatest in the rest, by one
+    aggregation that combines before the shuffle; no window sorts a key's rows."""
+    keys = (key,) if isinstance(key, str) else key
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    if not rest and not order:
+        return rows.distinct()
+    best = rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_row"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns])
 
 
-def upsert(table: DataFrame, changes: DataFrame, key: str = "path") -> DataFrame:
-    """The table with the rows of ``changes`` in place of those of equal key."""
-    return delete(table, changes, key).unionByName(changes.select(*table.columns))
+def upsert(table: DataFrame, changes: DataFrame, key: str = "path", order: tuple[str, ...] = ()) -> DataFrame:
+    """The table with the rows of ``changes`` in place of those of equal key. Of a key that
+    ``changes`` holds several times the row with the greatest ``order`` wins."""
+    return delete(table, changes, key).unionByName(latest(changes.select(*table.columns), key, *order))
 
 
 def delete(table: DataFrame, gone: DataFrame, key: str = "path") -> DataFrame:
@@ -59,31 +64,31 @@ def summary(changes: DataFrame) -> DataFrame:
     )
 
 
-def _range_of(rows: DataFrame, order: str, buckets: int) -> Column:
-    """Number of the range of ``order`` that a row lies in; the ends are one row for the driver."""
-    lo, hi = rows.agg(F.min(order), F.max(order)).first()
-    width = max(1, -(-(hi - lo + 1) // buckets)) if lo is not None else 1
-    return F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(width)).cast("long")
+def _ranged(rows: DataFrame, order: str) -> DataFrame:
+    """The rows with ``_b``, the number of the range of ``order`` that each lies in. Ranges come from
+    sampled quantiles, so keys may be of any type that sorts and lie however they like; they are
+    written once, so that later passes see the same ones."""
+    return stored(rows.repartitionByRange(order).withColumn("_b", F.spark_partition_id()), "ranges")
 
 
-def progress(changes: DataFrame, order: str, buckets: int = 1024) -> DataFrame:
+def progress(changes: DataFrame, order: str) -> DataFrame:
     """Running counters in ``order``: scanned, unchanged, removed.
 
     Rows are counted by range of ``order`` first, so that each range's running counts are made by
     its own task from the sums before it; no task sees all rows."""
     flags = {"scanned": F.col("status") != REMOVED, "unchanged_so_far": F.col("status") == UNCHANGED, "removed_so_far": F.col("status") == REMOVED}
-    rows = changes.withColumn("_b", _range_of(changes, order, buckets))
+    rows = _ranged(changes.select(order, "status"), order)
     ints = {k: v.cast("long") for k, v in flags.items()}
     sums = rows.groupBy("_b").agg(*[F.sum(v).alias(f"_s_{k}") for k, v in ints.items()])
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over `buckets` rows
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     sums = sums.select("_b", *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_p_{k}") for k in ints])
     own = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.join(F.broadcast(sums), "_b").select(order, "status", *[(F.sum(v).over(own) + F.col(f"_p_{k}")).alias(k) for k, v in ints.items()])
 
 
-def commit_batches(writes: DataFrame, order: str, every: int = COMMIT_EVERY, buckets: int = 1024) -> DataFrame:
+def commit_batches(writes: DataFrame, order: str, every: int = COMMIT_EVERY) -> DataFrame:
     """(batch, n_writes): index writes in ``order``, committed every ``every``."""
-    rows = writes.select(order, _range_of(writes, order, buckets).alias("_b"))
+    rows = _ranged(writes.select(order), order)
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_p"))
     n = F.row_number().over(Window.partitionBy("_b").orderBy(order)) + F.col("_p")

@@ -259,6 +259,20 @@ def status_eval(spark, sf):
     return t.withColumn("status", manifest.evaluate_status(F.col("root_exists"), F.col("index_exists"), F.col("file_count")))
 
 
+_STATES = [*T.STATUS_TEXT, "other"]
+
+
+@query("SELECT status, CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.STATUS_TEXT.items()) + f" ELSE '{T.STATUS_TEXT_ELSE}' END AS text, CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.STATUS_BRUSH.items())
+       + f" ELSE '{T.STATUS_BRUSH_ELSE}' END AS brush FROM (VALUES " + ", ".join(f"('{s}')" for s in _STATES) + ") AS t(status)")
+def status_labels(spark, sf):
+    return spark.createDataFrame([(s,) for s in _STATES], "status string").select("status", T.status_text("status").alias("text"), T.status_brush("status").alias("brush"))
+
+
+@query(f"SELECT doc_id, CASE WHEN quality = 1 THEN '{T.NO_FRAGMENT}' ELSE '{T.NO_PREVIEW}' END AS hint FROM labels")
+def preview_hint(spark, sf):
+    return table(spark, sf, "labels").select("doc_id", T.preview_hint(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("hint"))
+
+
 # ---------------------------------------------------------------- index
 
 
@@ -281,7 +295,7 @@ def postings_tf(spark, sf):
 
 @query(f"WITH {SQL_DOCS} SELECT term, count(DISTINCT path) AS df FROM (SELECT path, unnest(toks) AS term FROM d) GROUP BY term")
 def doc_freq(spark, sf):
-    return index.tokens(docs(spark, sf)).where("field = 'content'").groupBy("path", "term").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("one").alias("df"))
+    return index.frequencies(docs(spark, sf))
 
 
 @query("SELECT count(DISTINCT doc_id) AS n FROM documents")

@@ -28,10 +28,52 @@ def read_text(data: bytes) -> str:
     return decode(data).removeprefix("﻿")
 
 
-# Destinations of RTF that hold no running text.
-RTF_HIDDEN = frozenset("pict object fonttbl colortbl stylesheet info generator themedata colorschememapping latentstyles listtable listoverridetable rsidtbl datastore xmlnstbl".split())
+# Destinations of the RTF specification that hold tables, properties or binary data, by its chapters.
+RTF_HIDDEN = frozenset({
+    # header: fonts, colours, styles, lists, revision marks, generator
+    "fonttbl", "colortbl", "stylesheet", "latentstyles", "listtable", "listoverridetable", "rsidtbl", "generator",
+    # document: information, XML names, theme, data
+    "info", "xmlnstbl", "themedata", "colorschememapping", "datastore",
+    # pictures and objects
+    "pict", "object",
+})
 RTF_CHARS = {"par": "\n", "line": "\n", "tab": "\t"}
-_RTF = re.compile(rb"(?P<open>\{)|(?P<close>\})|\\'(?P<hex>[0-9a-fA-F]{2})|\\(?P<word>[a-zA-Z]+)(?P<arg>-?\d+)?[ ]?|\\(?P<sign>.)|(?P<text>[^\\{}]+)", re.S)
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_DIGITS = frozenset(b"0123456789")
+
+
+def _rtf(data: bytes):
+    """(kind, value, argument) of the parts of an RTF file: open, close, word, byte (an escaped one), sign and text."""
+    at, end = 0, len(data)
+
+    def span(start: int, allowed: frozenset) -> int:
+        while start < end and data[start] in allowed:
+            start += 1
+        return start
+
+    while at < end:
+        char = data[at]
+        if char == 0x7B or char == 0x7D:
+            yield ("open" if char == 0x7B else "close"), b"", None
+            at += 1
+        elif char != 0x5C:
+            stop = min((i for i in (data.find(c, at) for c in (b"\\", b"{", b"}")) if i >= 0), default=end)
+            yield "text", data[at:stop], None
+            at = stop
+        elif at + 1 >= end:
+            return
+        elif data[at + 1] in _LETTERS:
+            name = span(at + 1, _LETTERS)
+            minus = data[name : name + 1] == b"-" and data[name + 1 : name + 2].isdigit()
+            stop = span(name + minus, _DIGITS)
+            yield "word", data[at + 1 : name].lower(), int(data[name:stop]) if stop > name else None
+            at = stop + (data[stop : stop + 1] == b" ")
+        elif data[at + 1] == 0x27 and all(c in b"0123456789abcdefABCDEF" for c in data[at + 2 : at + 4]) and at + 4 <= end:
+            yield "byte", bytes([int(data[at + 2 : at + 4], 16)]), None
+            at += 4
+        else:
+            yield "sign", data[at + 1 : at + 2], None
+            at += 2
 
 
 def _code_page(data: bytes) -> str | None:
@@ -64,10 +106,7 @@ def read_rtf(data: bytes) -> str:
             out.append(bytes(raw).decode(page, "replace") if page else decode(bytes(raw)))
             raw.clear()
 
-    for m in _RTF.finditer(data):
-        kind = m.lastgroup
-        if kind == "arg":
-            kind = "word"
+    for kind, value, arg in _rtf(data):
         if kind == "open":
             groups.append((hidden, fallback))
         elif kind == "close":
@@ -75,36 +114,35 @@ def read_rtf(data: bytes) -> str:
             if groups:
                 hidden, fallback = groups.pop()
         elif kind == "word":
-            word = m["word"].decode().lower()
+            word = value.decode()
             if word in RTF_HIDDEN:
                 hidden = True
             elif word == "uc":
-                fallback = int(m["arg"] or 1)
-            elif word == "u" and m["arg"] and not hidden:
+                fallback = 1 if arg is None else arg
+            elif word == "u" and arg is not None and not hidden:
                 settle()
-                code = int(m["arg"]) % 65536
-                out.append(chr(code))
+                out.append(chr(arg % 65536))
                 skip = fallback
             elif word in RTF_CHARS and not hidden:
                 settle()
                 out.append(RTF_CHARS[word])
         elif kind == "sign":
-            if m["sign"] == b"*":
+            if value == b"*":
                 hidden = True
-            elif m["sign"] in b"\\{}" and not hidden:
+            elif value in (b"\\", b"{", b"}") and not hidden:
                 settle()
-                out.append(m["sign"].decode())
-            elif m["sign"] == b"~" and not hidden:
+                out.append(value.decode())
+            elif value == b"~" and not hidden:
                 settle()
                 out.append(" ")
-        elif kind == "hex":
+        elif kind == "byte":
             if skip:
                 skip -= 1
             elif not hidden:
-                raw += bytes.fromhex(m["hex"].decode())
+                raw += value
         elif not hidden:
-            text = m["text"][skip:]
-            skip = max(0, skip - len(m["text"]))
+            text = value[skip:]
+            skip = max(0, skip - len(value))
             if text:
                 settle()
                 out.append(text.decode(page or "latin-1", "replace"))

@@ -11,7 +11,7 @@ from gleanwork.control import RunControl
 from gleanwork.functions import text as T
 from gleanwork.operators import index, manifest
 from gleanwork.sources.extract import Router, extract
-from gleanwork.sources.storage import exists, shared_dir
+from gleanwork.sources.storage import delete, exists, forget_at_exit, shared_dir
 
 #: Files of one micro-batch: a commit each.
 FILES_PER_BATCH = 500
@@ -41,6 +41,7 @@ def upsert_stream(stream: DataFrame, target: str, key: str, order: tuple[str, ..
         old = f"{target}/v{number - 1}"
         rows = batch if not number or not exists(spark, old) else spark.read.parquet(old).unionByName(batch)
         manifest.latest(rows, key, *order).write.mode("overwrite").parquet(f"{target}/v{number}")
+        delete(spark, f"{target}/v{number - 2}")  # the last one stays, should this batch run again
 
     run = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
@@ -59,6 +60,7 @@ def read_version(spark: SparkSession, target: str) -> DataFrame:
 def latest_stream(spark: SparkSession, path: str, key: str, order: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
     """The latest row of each key, read as a stream to its present end."""
     target = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    forget_at_exit(spark, target)
     upsert_stream(stream_table(spark, path).select(*columns), target, key, order)
     return read_version(spark, target).select(*columns)
 
@@ -74,7 +76,7 @@ def stream_files(spark: SparkSession, root: str, extensions: list[str], files_pe
 
 
 def ingest_stream(files: DataFrame, table, profile_id: str, router: Router, checkpoint: str, control: RunControl | None = None):
-    """Extract and index a stream's files, a commit for each micro-batch; pausing and cancelling take
+    """Extract and index a stream's files, a segment for each micro-batch; pausing and cancelling take
     effect between batches. A batch that runs again replaces its own rows. Returns the finished query."""
 
     def one(batch: DataFrame, number: int) -> None:
@@ -84,10 +86,9 @@ def ingest_stream(files: DataFrame, table, profile_id: str, router: Router, chec
         rows = batch.drop("content").join(got, "path").select(
             "path", "extension", "size_bytes", "last_write_time", F.coalesce("text", F.lit("")).alias("content"), F.col("success").alias("content_indexed"), F.col("failure_reason").alias("skip_reason")
         )
-        new = index.map_documents(rows, profile_id)
-        fresh = new.select("path", "size_bytes", "last_write_time", F.current_timestamp().alias("indexed_at"), "content_indexed")
-        table.commit(index.update(table.read("docs"), new), manifest.upsert(table.read("manifest"), fresh))
+        table.upsert(index.map_documents(rows, profile_id))
 
-    run = files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    run.awaitTermination()
+    with table.lock():
+        run = files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        run.awaitTermination()
     return run

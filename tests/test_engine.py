@@ -4,9 +4,10 @@ import stat
 import pytest
 
 from gleanwork.control import Cancelled, RunControl
-from gleanwork.engine import Engine, IndexTable
-from gleanwork.plans.query import Scope
+from gleanwork.engine import Engine, IndexTable, search
+from gleanwork.plans.query import Scope, parse
 from gleanwork.sources.scan import SourceUnavailable, scan, walk
+from tests.test_search import table
 
 
 def write(path, text="x", when=None):
@@ -126,3 +127,92 @@ def test_control():
     c.cancel()
     with pytest.raises(Cancelled):
         c.checkpoint()
+
+
+def test_commits_cost_what_they_write(spark, tmp_path):
+    """A hundred documents, then one changed: the commit writes one; reads see the last state."""
+    rows = [(f"/d/{i}.txt", "txt", 10, f"word{i} all", True) for i in range(100)]
+    t = IndexTable(spark, f"{tmp_path}/i")
+    t.append(table(spark, rows, "p"))
+    t.upsert(table(spark, [("/d/7.txt", "txt", 11, "changed all", True)] * 2, "p"))  # a key twice: one row
+    assert [(s["rows"], s["gone"]) for s in t.segments()] == [(100, 0), (1, 1)]
+    size = lambda n: sum(os.path.getsize(f"{d}/{f}") for d, _, fs in os.walk(f"{tmp_path}/i/segments/{n}") for f in fs)
+    assert size(2) < size(1) / 2
+    assert t.count() == 100 and t.read("manifest").count() == 100
+    hit = lambda w: search(parse(w), t.read("docs"), t.read("postings")).total_hits
+    assert (hit("word7"), hit("changed"), hit("all"), hit("word8")) == (0, 1, 100, 1)
+    t.delete(spark.createDataFrame([("/d/7.txt",), ("/d/8.txt",)], "path string"))
+    assert (t.count(), t.read("manifest").count(), hit("changed"), hit("word8")) == (98, 98, 0, 0)
+    t.upsert(table(spark, [("/d/8.txt", "txt", 11, "back again", True)], "p"))
+    assert (t.count(), hit("back"), hit("word8")) == (99, 1, 0)
+
+
+def test_segments_merge(spark, tmp_path, monkeypatch):
+    from gleanwork import segments
+
+    monkeypatch.setattr(segments, "FANOUT", 3)
+    t = IndexTable(spark, f"{tmp_path}/i")
+    for i in range(5):
+        t.upsert(table(spark, [(f"/d/{j}.txt", "txt", i, f"round{i}", True) for j in range(i, i + 3)], "p"))
+        assert len(t.segments()) <= 3
+    assert {(r.path, r.size_bytes) for r in t.read("docs").collect()} == {(f"/d/{j}.txt", min(j, 4)) for j in range(7)}
+    kept = {int(n) for n in os.listdir(f"{tmp_path}/i/segments")}
+    assert {s["id"] for s in t.segments()} <= kept and len(kept) <= 3 + 3 * segments.KEPT
+    t.truncate()
+    assert t.count() == 0 and t.exists()
+
+
+def test_many_commits_of_a_run(made, spark, monkeypatch):
+    from gleanwork import engine
+
+    monkeypatch.setattr(engine, "COMMIT_EVERY", 2)
+    eng, root, p = made
+    for i in range(6):
+        write(f"{root}/f{i}.txt", f"text number{i}", 1000)
+    seen, control = [], RunControl()
+
+    def watch(progress):
+        seen.append(progress.indexed)
+        if progress.indexed:
+            control.cancel()
+
+    with pytest.raises(Cancelled):
+        eng.index(p, control=control, on_progress=watch)
+    t = IndexTable(spark, p.storage_path)
+    assert 0 < t.count() == t.read("manifest").count() == seen[-1] < 6
+    s = eng.index(p)
+    assert s.added == 6 - seen[-1] and s.unchanged == seen[-1] and s.final_count == 6
+
+
+def test_only_one_process_writes(made, spark):
+    from gleanwork.sources import storage
+
+    eng, root, p = made
+    write(f"{root}/a.txt", "text")
+    with IndexTable(spark, p.storage_path).lock(), pytest.raises(storage.Locked):
+        eng.index(p)
+    with storage.lock(spark, f"{p.storage_path}/LOCK", lease=-1):  # a lock that was left is taken over
+        pass
+    assert eng.index(p).added == 1
+
+
+def test_manifest_over_a_real_scan(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gleanwork.operators import manifest
+
+    for i in range(30):
+        write(f"{tmp_path}/r/d{i % 3}/f{i}.txt", "x" * i, 1000 + i)
+    files, _, _ = scan(spark, f"{tmp_path}/r", ["txt"])
+    old = files.where("size_bytes > 4").withColumn("size_bytes", F.when(F.col("size_bytes") == 9, 0).otherwise(F.col("size_bytes")))
+    changes = manifest.diff(files.where("size_bytes < 25"), old)
+    got = manifest.progress(changes, "path").orderBy("path").collect()
+    status = {r.path: r.status for r in changes.collect()}
+    assert [r.path for r in got] == sorted(status) and len(got) == 30
+    for k, r in enumerate(got):
+        before = [status[x.path] for x in got[: k + 1]]
+        assert (r.scanned, r.unchanged_so_far, r.removed_so_far) == (len(before) - before.count("Removed"), before.count("Unchanged"), before.count("Removed"))
+    assert {(r.batch, r.n_writes) for r in manifest.commit_batches(changes.where("status <> 'Unchanged'"), "path", 4).collect()} == {(0, 4), (1, 4), (2, 3)}
+    twice = old.where("size_bytes = 6").unionByName(old.where("size_bytes = 6").withColumn("size_bytes", F.lit(99)))
+    after = manifest.upsert(old, twice, order=("size_bytes",))
+    assert after.count() == old.count() and after.where("size_bytes = 99").count() == 1

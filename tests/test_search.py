@@ -8,7 +8,7 @@ from gleanwork.plans import planner
 from gleanwork.plans.query import Scope, parse
 from gleanwork.schemas import EXTRACTED
 
-DOC = "这是一份关于文件搜索软件寻迹FileTrace的年度总结报告，内容涵盖索引引擎设计与性能优化。"
+DOC = "本年度总结说明检索工具Gleaner的进展：寻迹模块、索引写入与性能优化都已完成，报告附后。"
 ROWS = [
     ("/data/报告/2024年度总结报告.docx", "docx", 12345, DOC, True),
     ("/data/报告/预算表.xlsx", "xlsx", 999, "2024年部门预算明细表", True),
@@ -44,9 +44,9 @@ def find(corpus, raw, scope=Scope.BOTH, **more):
         ("不存在的关键词xyz", []),
         ("发布会", ["发布会.pptx"]),
         ("-总结", ["发布会.pptx", "预算表.xlsx"]),
-        ("filetrace", ["2024年度总结报告.docx"]),
+        ("gleaner", ["2024年度总结报告.docx"]),
         ("name:202?年*", ["2024年度总结报告.docx"]),
-        ("content:file*", ["2024年度总结报告.docx"]),
+        ("content:glean*", ["2024年度总结报告.docx"]),
         ("*", ["2024年度总结报告.docx", "发布会.pptx", "预算表.xlsx"]),
         ("-filename:*.docx -预算", ["发布会.pptx"]),
     ],
@@ -112,7 +112,7 @@ def test_fragment_picks_the_best_part():
 def test_plan_reads_few_columns_and_filters_terms(spark, tmp_path):
     docs = table(spark, ROWS, "A")
     index.postings(docs).write.parquet(f"{tmp_path}/p")
-    q = parse("filetrace", Scope.CONTENT)
+    q = parse("gleaner", Scope.CONTENT)
     plan = planner.Plan(q, docs, spark.read.parquet(f"{tmp_path}/p")).matches(scored=False)
     text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [EqualTo(field,content), EqualTo(term,filetrace)]" in text or "In(term" in text or "EqualTo(term,filetrace)" in text
+    assert "PushedFilters: [EqualTo(field,content), EqualTo(term,gleaner)]" in text or "In(term" in text or "EqualTo(term,gleaner)" in text
