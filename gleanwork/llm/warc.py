@@ -2,26 +2,34 @@
 
 Records are resolved on their headers alone: digests are grouped with a map-side maximum, and
 each header is joined to the response chosen for its digest. Archives go out through Spark's own
-writer, one record per value, so they reach any storage that Spark writes to, and a lost task is
-written again. Compressed files are one gzip member each.
+writer, one archive per value, so they reach any storage that Spark writes to, and a lost task is
+written again. Each record is a gzip member of its own, so that a reader can seek it; a file begins with a
+warcinfo record and holds ``FILE_BYTES`` of records, or one larger one.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 import zlib
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanwork.llm import textbytes as tb
 from gleanwork.llm.shared import materialise, scratch
 
 #: Payloads shorter than this are kept whole: a revisit record would save nothing.
 MIN_BYTES = 1000
-#: Records of one archive file, so that a reader's task never holds more.
-FILE_RECORDS = 1024
+#: Bytes of an archive file's records before compression.
+FILE_BYTES = 8 << 20
+#: Copies from which a digest counts as hot; its decision is broadcast, that of at most rows / HOT digests.
+HOT, SALTS = 10_000, 64
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-EPOCH = "2000-01-01T00:00:00Z"
+#: An empty gzip member.
+NOTHING = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 
 
 def headers(pages: DataFrame) -> DataFrame:
@@ -33,51 +41,93 @@ def headers(pages: DataFrame) -> DataFrame:
 
 
 def resolve(records: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Add record_type and refers_to.
+    """Add record_type, refers_to, and for revisits kept_url and unique (whether one row only is the response).
 
     Of records with an equal digest and at least ``min_bytes``, those with the largest page_id
     are responses; others revisit it. Records without a page_id count as smaller than any.
-    Repeated rows with the largest page_id are each a response. Only digests and ids are shuffled
+    Repeated rows with the largest page_id are each a response. Only digests, ids and urls are shuffled
     to choose; the table of repeated digests is written first, so that its size is known when the
-    join is planned: broadcast where small, else an equi-join that splits hot digests.
+    join is planned: broadcast where small. Otherwise the decisions of hot digests are broadcast, their rows
+    dealt anywhere, and the rest met by an equi-join without skew.
     """
     big = F.col("payload_bytes") >= min_bytes
-    chosen = records.where(big).groupBy("payload_digest").agg(F.max("page_id").alias("_kept"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    chosen = records.where(big).groupBy("payload_digest", "page_id").agg(F.count(F.lit(1)).alias("_n"), F.min("url").alias("_url"))
+    chosen = chosen.groupBy("payload_digest").agg(F.max(F.struct("page_id", "_n", "_url")).alias("_best"), F.sum("_n").alias("_copies")).where("_copies > 1")
+    chosen = chosen.select(F.col("payload_digest").alias("_digest"), F.col("_best.page_id").alias("_kept"), (F.col("_best._n") == 1).alias("_one"), F.col("_best._url").alias("_url"), "_copies")
     chosen = materialise(chosen, "warc-chosen")
-    joined = records.join(chosen, "payload_digest", "left")
+    hot = chosen.where(F.col("_copies") >= HOT).select(F.col("_digest").alias("_hot"))
+    rows = records.join(F.broadcast(hot), F.col("payload_digest") == F.col("_hot"), "left")  # rows / HOT digests at most
+    # a hot digest's decision is copied SALTS times, and its rows meet one of them
+    salts = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).otherwise(F.lit(0))
+    every = F.explode(F.when(F.col("_copies") >= HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    joined = rows.withColumn("_salt", salts.cast("int")).join(chosen.withColumn("_at", every), (F.col("payload_digest") == F.col("_digest")) & (F.col("_salt") == F.col("_at")), "left")
     revisit = big & F.col("_kept").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("_kept")))
-    return joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("_kept"))}).drop("_kept")
-
-
-def _clean(name: str):
-    """A header's value: one line."""
-    return F.regexp_replace(F.coalesce(F.col(name).cast("string"), F.lit("")), r"[\r\n]+", " ")
-
-
-def record_text(df: DataFrame) -> DataFrame:
-    """One WARC/1.1 record per row as a string without its closing blank lines, with fresh headers."""
-    revisit = F.col("record_type") == "revisit"
-    body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), page, F.lit(">"))),
-        line("WARC-Date", F.lit(EPOCH)),
-        F.when(F.col("url").isNotNull(), line("WARC-Target-URI", _clean("url"))).otherwise(F.lit("")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        line("X-Payload-Length", F.col("payload_bytes").cast("string")),
-        F.when(revisit, F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
-        line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.octet_length(body).cast("string")),
-        F.lit("\r\n"),
-    )
-    return df.select(F.concat(head, body).alias("value"))
+    out = joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("_kept")), "kept_url": F.when(revisit, F.col("_url")), "unique": F.col("_kept").isNotNull() & F.col("_one")})
+    return out.drop("_digest", "_kept", "_one", "_url", "_copies", "_hot", "_salt", "_at")
+
+
+def record_id(digest: str, page: int | None, unique: bool) -> str:
+    """A record's id: the response of a repeated payload has one that follows from both, so that revisits can
+    name it without a join; any other a new one."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{digest}/{page}') if unique else uuid.uuid4()}>"
+
+
+def _record(fields: list[tuple[str, object]], body: bytes) -> bytes:
+    lines = [f"{k}: {' '.join(str(v).split())}" for k, v in fields if v is not None]
+    return ("WARC/1.1\r\n" + "\r\n".join(lines) + f"\r\nContent-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+
+def _now() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def _member(record: bytes, compression: str) -> bytes:
+    if compression == "none":
+        return record
+    press = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return press.compress(record) + press.flush()
+
+
+def _archives(compression: str):
+    """Files of records, without their last byte, which is the writer's separator of lines: a line end, or,
+    of gzip members, the zero that ends a member's size of less than 16 MB."""
+
+    def whole(parts: list[bytes]) -> bytes:
+        if compression != "none" and parts[-1][-1]:
+            parts.append(NOTHING)
+        return b"".join(parts)[:-1]
+
+    def run(batches):
+        parts, size = [], 0
+        for batch in batches:
+            buf, offs = tb.column(batch.column("payload"))
+            columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "payload_digest", "payload_bytes", "record_type", "refers_to", "kept_url", "unique")]
+            for k, (page, url, digest, n, kind, refers, kept_url, unique) in enumerate(zip(*columns, strict=True)):
+                revisit = kind == "revisit"
+                fields = [("WARC-Type", kind), ("WARC-Record-ID", record_id(digest, page, unique and not revisit)), ("WARC-Date", _now()), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}")]
+                if revisit:
+                    fields += [("WARC-Refers-To", record_id(digest, refers, True) if unique else None), ("WARC-Refers-To-Target-URI", kept_url), ("WARC-Profile", PROFILE), ("X-Refers-To-Page", refers)]
+                fields += [("X-Page", page), ("X-Payload-Length", n), ("Content-Type", "text/html; charset=utf-8")]
+                record = _record(fields, b"" if revisit else buf[offs[k] : offs[k + 1]].tobytes())
+                if parts and size + len(record) > FILE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([whole(parts)], pa.binary())], ["value"])
+                    parts = []
+                if not parts:
+                    info = b"software: gleanwork\r\nformat: WARC File Format 1.1\r\n"
+                    parts, size = [_member(_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("", None, False)), ("WARC-Date", _now()), ("Content-Type", "application/warc-fields")], info), compression)], 0
+                parts.append(_member(record, compression))
+                size += len(record)
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([whole(parts)], pa.binary())], ["value"])
+
+    return run
 
 
 def write_archives(resolved: DataFrame, path: str, compression: str = "gzip") -> None:
-    record_text(resolved).write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    """Archives of resolved records below ``path``, a file a value."""
+    rows = resolved.select("page_id", "url", "payload", "payload_digest", "payload_bytes", "record_type", "refers_to", "kept_url", "unique")
+    files = rows.mapInArrow(_archives(compression), "value binary").select(F.col("value").cast("string"))  # bytes go through as they are
+    files.write.option("lineSep", "\n" if compression == "none" else "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse(data: bytes):
@@ -116,21 +166,20 @@ _TYPES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type
 
 
 def _number(value: str | None) -> int | None:
-    digits = (value or "").strip("<>").rpartition(":")[2]
-    return int(digits) if digits else None
+    return int(value) if value else None
 
 
 def _read(batches):
-    import hashlib
-
     for batch in batches:
         for data in batch.column("content"):
             rows = {name: [] for name in _TYPES.names}
             for head, body in parse(_unzip(data.as_py())):
+                if head["warc-type"] == "warcinfo":
+                    continue
                 digest = head["warc-payload-digest"].removeprefix("sha1:")
                 if head["warc-type"] == "response" and hashlib.sha1(body).hexdigest() != digest:
                     raise ValueError(f"payload of {head['warc-record-id']} does not have its digest")
-                values = (_number(head["warc-record-id"]), head.get("warc-target-uri"), head["warc-type"], digest, int(head["x-payload-length"]), _number(head.get("warc-refers-to")), body)
+                values = (_number(head.get("x-page")), head.get("warc-target-uri"), head["warc-type"], digest, int(head["x-payload-length"]), _number(head.get("x-refers-to-page")), body)
                 for name, value in zip(_TYPES.names, values, strict=True):
                     rows[name].append(value)
             yield pa.RecordBatch.from_pydict(rows, schema=_TYPES)
@@ -146,7 +195,6 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = scratch(spark, "warc")
     records = headers(pages)
-    # only the small columns are shuffled by digest; payloads stay with their rows where the join is broadcast
     write_archives(resolve(records), path)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

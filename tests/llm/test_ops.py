@@ -87,17 +87,52 @@ def test_unigram_path_is_the_best_of_all(machine):
 # ---------------------------------------------------------------- 2
 
 
-def test_archives(spark, tmp_path):
+def test_archives(spark, tmp_path, monkeypatch):
+    import glob
+    import zlib as z
+
     big = "é" * 600
-    rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (3, None, "small\r\n\r\nWARC/1.1"), (4, "u", "small\r\n\r\nWARC/1.1"), (5, "u", None)]
+    rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (3, None, "small\r\n\r\nWARC/1.1"), (4, "u", "small\r\n\r\nWARC/1.1"), (5, "u", None), (None, "n", big), (None, None, "x"), (6, "v", "w" * 1500), (6, "v", "w" * 1500), (1, "q", "w" * 1500)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for kind in ("gzip", "none"):
-        path = f"{tmp_path}/{kind}"
-        warc.write_archives(warc.resolve(warc.headers(pages)), path, kind)
-        got = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
-        assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None), 4: ("response", None), 5: ("response", None)}
-        assert bytes(got[2].payload).decode() == big and bytes(got[1].payload) == b"" and got[1].payload_bytes == 1200
-        assert got[3].payload_digest == hashlib.sha1(b"small\r\n\r\nWARC/1.1").hexdigest() and bytes(got[3].payload) == b"small\r\n\r\nWARC/1.1"
+    for kind, hot, size in (("gzip", 10_000, 1 << 20), ("none", 10_000, 2000), ("gzip", 2, 2000)):
+        path = f"{tmp_path}/{kind}{hot}"
+        monkeypatch.setattr(warc, "HOT", hot)
+        monkeypatch.setattr(warc, "FILE_BYTES", size)
+        warc.write_archives(warc.resolve(warc.headers(pages.coalesce(1))), path, kind)
+        read = warc.read_archives(spark, path).collect()
+        assert len(read) == len(rows)
+        got = {(r.page_id, r.url): r for r in read}
+        assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {
+            (1, "http://a"): ("revisit", 2), (2, "http://b X: y"): ("response", None), (3, None): ("response", None), (4, "u"): ("response", None), (5, "u"): ("response", None),
+            (None, "n"): ("revisit", 2), (None, None): ("response", None), (6, "v"): ("response", None), (1, "q"): ("revisit", 6),
+        }
+        assert bytes(got[2, "http://b X: y"].payload).decode() == big and bytes(got[1, "http://a"].payload) == b"" and got[1, "http://a"].payload_bytes == 1200
+        assert got[3, None].payload_digest == hashlib.sha1(b"small\r\n\r\nWARC/1.1").hexdigest() and bytes(got[3, None].payload) == b"small\r\n\r\nWARC/1.1"
+        files = [open(f, "rb").read() for f in glob.glob(f"{path}/part-*")]
+        assert len(files) == 1 if size > 2000 else len(files) > 1
+        ids, refers = [], []
+        for data in files:
+            members = []
+            while data and kind == "gzip":
+                one = z.decompressobj(31)
+                members.append(one.decompress(data) + one.flush())
+                data = one.unused_data
+            members = [m for m in members if m] or [data]
+            heads = [h for m in members for h, _ in warc.parse(m)]
+            assert heads[0]["warc-type"] == "warcinfo" and (kind == "none" or len(heads) == len(members))  # a member per record
+            ids += [h["warc-record-id"] for h in heads]
+            refers += [(h["x-refers-to-page"], h.get("warc-refers-to")) for h in heads if h["warc-type"] == "revisit"]
+        assert len(set(ids)) == len(ids) and all((to in ids) == (page == "2") for page, to in refers) and len(refers) == 3
+
+
+def test_large_records(spark, tmp_path):
+    """Beyond 16 MB a member's size doesn't end in a zero."""
+    pages = spark.createDataFrame([(1, "a", "x" * (17 << 20)), (2, "b", "y")], "page_id long, url string, html string")
+    warc.write_archives(warc.resolve(warc.headers(pages)), f"{tmp_path}/w")
+    assert {r.page_id: r.payload_bytes for r in warc.read_archives(spark, f"{tmp_path}/w").select("page_id", "payload_bytes").collect()} == {1: 17 << 20, 2: 1}
+
+
+def test_cut_archives():
     with pytest.raises(ValueError):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))
 
