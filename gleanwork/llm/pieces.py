@@ -1,13 +1,19 @@
 """SentencePiece encoding and decoding as shortest paths of weighted transducers.
 
-A model file is compiled once: the normaliser (blanks to the mark U+2581, one before the text), the
-pieces, and byte fallback for characters without a piece. Composing them with an input gives a
-lattice: its states are pairs of a position and the piece that ends there, its arcs are pieces.
-Paths are weighed in the tropical semiring (min, +):
+A model file is compiled once into arc tables:
 
-* unigram models: an arc weighs minus its piece's score;
+* the normaliser: from its start state the longest arc of the character map is taken, every other character
+  is its own; a blank's arc writes the mark U+2581, and one is written before the text;
+* the pieces: a tree of arcs by character, whose final states write a piece;
+* byte fallback: an arc for each character without a piece, which writes the pieces of its bytes.
+
+Composed with a normalised text they give a lattice. Its states are pairs of a position and the piece that
+ends there, and the tropical semiring (min, +) weighs its paths: each state's arcs are walked through the
+tables and relax the states that they reach.
+
+* Unigram models: an arc weighs minus its piece's score.
 * BPE models: an arc weighs 0 where its piece may follow the state's piece and infinity otherwise.
-  Two pieces may follow each other when merging their joined characters gives those two. A
+  Two pieces may follow each other when merging their joined characters by rising rank gives those two. A
   segmentation whose neighbours all may follow each other is the one that merging the whole text
   gives, and each prefix has exactly one, so one state per position is ever finite.
 
@@ -34,6 +40,7 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Weight of a character without a piece, beyond the worst piece (of a unigram model).
 UNKNOWN_WEIGHT = 10.0
+INFINITY = float("inf")
 
 
 def _fields(data: bytes):
@@ -61,11 +68,48 @@ def _fields(data: bytes):
             at += size
 
 
+def character_map(blob: bytes) -> dict[bytes, bytes]:
+    """The normaliser's replacements. The blob is a double array of units (after its size in bytes) over the UTF-8
+    of what is replaced, whose values are places of zero-ended replacements behind it."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, texts, out = struct.unpack(f"<{size // 4}I", blob[4 : 4 + size]), blob[4 + size :], {}
+    offset = lambda u: (u >> 10) << ((u & 512) >> 6)
+    todo = [(offset(units[0]), b"")]
+    while todo:
+        at, key = todo.pop()
+        for byte in range(1, 256):
+            to = at ^ byte
+            if to < len(units) and units[to] & 0x800000FF == byte:
+                below = to ^ offset(units[to])
+                if units[to] >> 8 & 1:
+                    place = units[below] & 0x7FFFFFFF
+                    out[key + bytes([byte])] = texts[place : texts.index(b"\0", place)]
+                todo.append((below, key + bytes([byte])))
+    return out
+
+
+#: Where no arc leads: no arcs, no piece.
+NOWHERE: tuple[dict, int] = ({}, -1)
+
+
+def _tree(ids: dict[str, int]) -> dict[str, tuple[dict, int]]:
+    """Arcs of the start state by character: each leads to a state's arcs and the piece that it writes, or -1."""
+    start: dict = {}
+    for piece in sorted(ids, key=len):  # a state is made before those behind it
+        arcs = start
+        for char in piece[:-1]:
+            arcs = arcs.setdefault(char, ({}, -1))[0]
+        arcs[piece[-1]] = (arcs.get(piece[-1], NOWHERE)[0] or {}, ids[piece])
+    return start
+
+
 class Transducer:
     """A compiled model."""
 
-    def __init__(self, model: bytes):
-        self.pieces, self.scores, self.kinds = [], [], []
+    def __init__(self, model: bytes, kind: int | None = None):
+        self.pieces, self.scores, self.kinds, self.map = [], [], [], {}
         self.type, self.prefix, self.trim = UNIGRAM, True, True
         for number, value in _fields(model):
             if number == 1:
@@ -77,15 +121,16 @@ class Transducer:
                 self.type = dict(_fields(value)).get(3, UNIGRAM)
             elif number == 3:
                 f = dict(_fields(value))
-                if f.get(2):
-                    raise ValueError("character maps of the normaliser aren't supported; the identity is")
+                self.map = character_map(f.get(2, b""))
                 self.prefix, self.trim = bool(f.get(3, 1)), bool(f.get(4, 1))
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER)}
         self.rank = {p: self.scores[i] for p, i in self.ids.items()}
-        self.heads = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.type = kind or self.type
+        self.arcs = _tree(self.ids)
+        self.gains = self.type == UNIGRAM and any(s > 0 for s in self.scores)
+        self.longest_mapped = max(map(len, self.map), default=0)
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
-        self.longest = max(map(len, self.ids))
         self.worst = min((s for s, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL), default=0.0)
         self.cuts = not any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids)
         self.after: dict[str, dict[str, bool]] = {}  # whether a piece may follow another
@@ -106,6 +151,19 @@ class Transducer:
         self.ids_of_paths, self.ends_of_paths = array("i"), array("q")
 
     def normalise(self, text: str) -> str:
+        if self.map:
+            raw, out, at = text.encode(), [], 0
+            while at < len(raw):
+                for size in range(min(self.longest_mapped, len(raw) - at), 0, -1):
+                    new = self.map.get(raw[at : at + size])
+                    if new is not None:
+                        break
+                else:
+                    size = 1 if raw[at] < 0x80 else 2 if raw[at] < 0xE0 else 3 if raw[at] < 0xF0 else 4
+                    new = raw[at : at + size]
+                out.append(new)
+                at += size
+            text = b"".join(out).decode("utf-8", "replace")
         if self.trim:
             text = " ".join(x for x in text.split(" ") if x)
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
@@ -136,73 +194,48 @@ class Transducer:
         found = self.after.setdefault(one, {})[two] = self.merged(one + two) == ([one, two] if one else [two])
         return found
 
-    def _accepted(self, part: str) -> list[str]:
-        """Pieces of the one path of finite weight, depth first: long arcs before short ones. A state
-        (position, piece before) that leads nowhere is not entered again."""
-        ids, heads, after, nothing, n = self.ids, self.heads, self.after, {}, len(part)
-        pieces: list[str] = []
-        waiting: list[list[str]] = []  # arcs not yet tried, by state on the path
-        dead: set[tuple[int, str]] = set()
-        at, one = 0, ""
-        fresh = True
-        while at < n:
-            if fresh:
-                end = at + 1
-                arcs = [part[at:end]]
-                while end < n:
-                    end += 1
+    def lattice(self, part: str) -> list[str]:
+        """Pieces of the shortest path through the composition with a normalised part.
+
+        Of equal paths the one whose last piece is longest stands, at every position."""
+        after, n, bpe, gains = self.after, len(part), self.type == BPE, self.gains
+        weight, back = [0.0] + [INFINITY] * n, [0] * (n + 1)
+        last, nothing = [""] * (n + 1), {}
+        for at in range(n):
+            here = weight[at]
+            if here == INFINITY:
+                continue
+            one = last[at]
+            known = after.get(one, nothing) if bpe else nothing
+            arcs, end = self.arcs, at
+            for char in part[at:]:
+                end += 1
+                arcs, piece_id = arcs.get(char, NOWHERE)
+                if (piece_id >= 0 or end == at + 1) and (gains or here < weight[end]):  # else no arc weighs less than 0
                     piece = part[at:end]
-                    if piece not in heads:
-                        break
-                    if piece in ids:
-                        arcs.append(piece)
-            known = after.get(one, nothing)
-            fresh = False
-            while arcs:
-                piece = arcs.pop()
-                ok = known.get(piece)
-                if ok is None:
-                    ok = self.follows(one, piece)
-                    known = after[one]
-                if ok and not (dead and (at + len(piece), piece) in dead):
-                    pieces.append(piece)
-                    waiting.append(arcs)
-                    at += len(piece)
-                    one = piece
-                    fresh = True
+                    if bpe:
+                        ok = known.get(piece)
+                        if ok is None:
+                            ok = self.follows(one, piece)
+                            known = after[one]
+                        w = here if ok else INFINITY
+                    else:
+                        w = here + (-self.scores[piece_id] if piece_id >= 0 else UNKNOWN_WEIGHT - self.worst)
+                    if w < weight[end]:
+                        weight[end], last[end], back[end] = w, piece, at
+                if not arcs:
                     break
-            if not fresh:
-                if not pieces:
-                    raise AssertionError(f"no path through {part!r}")
-                dead.add((at, one))
-                at -= len(pieces.pop())
-                arcs = waiting.pop()
-                one = pieces[-1] if pieces else ""
-        return pieces
+        out, at = [], n
+        while at:
+            out.append(last[at])
+            at = back[at]
+        out.reverse()
+        return out
 
     def path(self, part: str) -> list[int]:
         """Ids of the shortest path of a normalised part."""
-        ids, n = self.ids, len(part)
-        if self.type == BPE:
-            return [i for piece in self._accepted(part) for i in ([ids[piece]] if piece in ids else self._fallback(piece))]
-        last: list[str] = [""] * (n + 1)
-        weight = [0.0] + [float("inf")] * n
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = part[start:end]
-                i = ids.get(piece)
-                if i is None and end - start > 1:
-                    continue
-                w = weight[start] + (-self.scores[i] if i is not None else UNKNOWN_WEIGHT - self.worst)
-                if w < weight[end]:
-                    weight[end], last[end] = w, piece
-        out: list[list[int]] = []
-        at = n
-        while at:
-            piece = last[at]
-            out.append([ids[piece]] if piece in ids else self._fallback(piece))
-            at -= len(piece)
-        return [i for piece in reversed(out) for i in piece]
+        ids = self.ids
+        return [i for piece in self.lattice(part) for i in ([ids[piece]] if piece in ids else self._fallback(piece))]
 
     def _fallback(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode()] if self.byte else [self.unknown]
@@ -217,7 +250,7 @@ class Transducer:
     def indexes(self, text: str) -> list[int]:
         """Positions in ``paths`` of the text's parts."""
         known = self.known
-        if self.cuts and self.prefix and not self.trim:
+        if self.cuts and self.prefix and not self.trim and not self.map:
             # a word stands for itself with a mark before it, a line's first word for itself with the line end
             flat = text.replace("\n", " \n")
             if flat and flat[0] != " " and flat[-1] != " " and "  " not in flat and MARK not in flat:
@@ -298,29 +331,30 @@ class Transducer:
         return out.tobytes().decode("utf-8", "replace")
 
 
-_COMPILED: dict[int, Transducer] = {}
+_COMPILED: dict[tuple, Transducer] = {}
 
 
-def compiled(model: bytes) -> Transducer:
+def compiled(model: bytes, kind: int | None = None) -> Transducer:
     """One transducer of a model in each process."""
-    key = hash(model)
+    key = (hash(model), kind)
     if key not in _COMPILED:
         _COMPILED.clear()
-        _COMPILED[key] = Transducer(model)
+        _COMPILED[key] = Transducer(model, kind)
     return _COMPILED[key]
 
 
-def tokenize(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
+def tokenize(docs: DataFrame, model_path: str = MODEL, kind: int | None = None) -> DataFrame:
     """Every row of ``docs`` (with text) with ids, n_ids and round_trip (whether the ids decode to
     the text), which replace columns of these names. A null text is empty and has no ids. A text with the mark U+2581 itself, or blanks
-    that a trimming normaliser drops, does not come back. The model goes to executors by value."""
+    that a trimming normaliser drops, does not come back. ``kind`` reads the pieces as UNIGRAM or BPE instead of
+    what the file says. The model goes to executors by value."""
     with open(model_path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
     docs = without(docs, "ids", "n_ids", "round_trip")
     names = [*docs.columns, "ids", "n_ids", "round_trip"]
 
     def run(batches):
-        machine = compiled(sent.value)
+        machine = compiled(sent.value, kind)
         for batch in batches:
             buf, offs = tb.column(batch.column("text"))
             for lo, hi, b, o in tb.pieces(buf, offs):
@@ -342,3 +376,8 @@ def tokenize(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text")
+
+
+def sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pieces as a unigram model: the path of the least sum of ranks."""
+    return tokenize(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), kind=UNIGRAM).drop("text")

@@ -13,6 +13,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "sentencepiece_unigram": pieces.sentencepiece_unigram,
 }
 
 ORACLE = {

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -69,21 +70,87 @@ def test_round_trip(spark):
     assert run(spark, "op1_sentencepiece").where("not round_trip").count() == 0
 
 
-def test_unigram_path_is_the_best_of_all(machine):
-    m = pieces.Transducer.__new__(pieces.Transducer)
-    m.__dict__.update(machine.__dict__)
+def message(*fields):
+    """A protocol buffer message of (number, value) fields."""
+
+    def varint(x):
+        out = b""
+        while True:
+            out += bytes([x & 127 | (128 if x > 127 else 0)])
+            x >>= 7
+            if not x:
+                return out
+
+    wire = lambda n, v: varint(n << 3) + varint(v) if isinstance(v, int) else varint(n << 3 | 5) + struct.pack("<f", v) if isinstance(v, float) else varint(n << 3 | 2) + varint(len(v)) + v
+    return b"".join(wire(n, v) for n, v in fields)
+
+
+def unigram_model(scores, charsmap=b"", trim=0):
+    parts = [("<unk>", 0.0, pieces.UNKNOWN), *((f"<0x{i:02X}>", 0.0, pieces.BYTE) for i in range(256)), *((p, s, pieces.NORMAL) for p, s in scores.items())]
+    spec = [(2, charsmap)] if charsmap else []
+    return message(*((1, message((1, p.encode()), (2, s), (3, k))) for p, s, k in parts), (2, message((3, pieces.UNIGRAM), (35, 1))), (3, message((1, b"own"), *spec, (3, 1), (4, trim), (5, 1))))
+
+
+def test_unigram_ids_equal_the_library():
+    import sentencepiece
+
+    r = random.Random(9)
+    names = {"".join(r.choice("abc\u2581") for _ in range(r.randint(1, 4))) for _ in range(60)} | set("abc\u2581")
+    model = unigram_model({p: -round(r.uniform(1, 9), 3) for p in sorted(names) if "\u2581" not in p[1:]})
+    lib, own = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.Transducer(model)
+    for _ in range(1500):
+        text = "".join(r.choice(["a", "b", "c", " ", "é", "ab", "cab"]) for _ in range(r.randint(0, 25)))
+        assert own.encode(text) == lib.encode(text), text
+        assert own.decode(own.encode(text)) == lib.decode(lib.encode(text))
+
+
+def test_unigram_path_is_the_best_of_all():
     vocabulary = {"a": -3.0, "b": -3.5, "ab": -4.0, "ba": -4.2, "aba": -9.0, "bb": -5.0}
-    m.type, m.ids, m.scores, m.worst, m.longest, m.byte, m.unknown = pieces.UNIGRAM, {p: i for i, p in enumerate(vocabulary)}, list(vocabulary.values()), -9.0, 3, {}, 99
-    names = list(vocabulary)
+    m = pieces.Transducer(unigram_model(vocabulary))
 
     def best(text):
         return max(((vocabulary[p] + best(text[len(p) :])[0], (p, *best(text[len(p) :])[1])) for p in vocabulary if text.startswith(p)), default=(0.0, ())) if text else (0.0, ())
 
     for text in ("abab", "bbaab", "aabba", "babab"):
-        got = [names[i] for i in m.path(text)]
+        got = m.lattice(text)
         assert "".join(got) == text and sum(vocabulary[p] for p in got) == pytest.approx(best(text)[0])
 
 
+def test_character_maps():
+    """A double array made by hand: one unit per byte of a key, the value below the last."""
+    keys = {b"A": b"a", b"AB": b"x", "é".encode(): b"e", b"\t": b" "}
+    texts, places = b"", {}
+    for k, v in keys.items():
+        places[k] = len(texts)
+        texts += v + b"\0"
+    units = {0: 1 << 10}
+    free = [1024]
+
+    def put(at, key):  # children of the node whose offset leads to ``at``
+        for byte in sorted({k[len(key)] for k in keys if k.startswith(key) and len(k) > len(key)}):
+            child, below = key + bytes([byte]), free[0]
+            free[0] += 512
+            to = at ^ byte
+            units[to] = byte | ((to ^ below) << 10) | ((child in keys) << 8)
+            if child in keys:
+                units[below] = 0x80000000 | places[child]
+            put(below, child)
+
+    put(1, b"")
+    flat = [units.get(i, 0) for i in range(max(units) + 1)]
+    blob = struct.pack("<I", 4 * len(flat)) + struct.pack(f"<{len(flat)}I", *flat) + texts
+    assert pieces.character_map(blob) == keys
+    m = pieces.Transducer(unigram_model({"a": -1.0, "x": -1.0, "e": -1.0, "\u2581": -1.0}, blob))
+    assert m.normalise("ABAé\tz") == "\u2581xae\u2581z"
+
+
+def test_whole_text_without_parts(machine):
+    """The lattice of a whole text has the path of its parts."""
+    for text in ("the theory of everything", "aaaaabbbbab ab", "Straße 日本"):
+        whole = machine.normalise(text)
+        assert machine.path(whole) == machine.encode(text)
+
+
 # ---------------------------------------------------------------- 2
 
 
