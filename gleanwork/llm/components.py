@@ -8,14 +8,6 @@ from pyspark.sql import functions as F
 from gleanwork.llm.shared import materialise
 
 
-def contract(edges: DataFrame) -> DataFrame:
-    """Edges with the same components: each node, and every neighbour it is the ``a`` of an edge to,
-    is tied to the least of them. Stars around many centres become few edges."""
-    near = edges.groupBy("a").agg(F.collect_set("b").alias("all"), F.least(F.col("a"), F.min("b")).alias("least"))
-    ties = F.explode(F.filter(F.concat(F.array("a"), "all"), lambda x: x != F.col("least"))).alias("a")
-    return near.select(ties, F.col("least").alias("b")).distinct()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a long, b long): label is the least node of its component.
 

@@ -3,13 +3,14 @@
 1. Documents of equal shingle sets are one class; each class is compared once.
 2. Bands of MinHash values name candidates: a pair at the threshold shares none of ``BANDS`` bands
    with probability (1 - 0.8**ROWS)**BANDS = 5e-6.
-3. Candidates' MinHash values are compared ``STEP`` at a time; a pair goes as soon as the posterior
-   probability that its similarity reaches the threshold falls below ``TOLERANCE``.
-4. Classes joined by surviving pairs form clusters, in which every pair is pruned the same way and
-   the rest verified on the exact sets.
-
-Pairs are never emitted. A bucket or cluster of many members is dealt to tasks as pairs of blocks
-of its members, which compare within memory and return one row per member.
+3. A pair is looked at in the first band that it shares, and nowhere else. Its MinHash values are compared
+   ``STEP`` at a time; it goes as soon as the posterior probability that its similarity reaches the
+   threshold falls below ``TOLERANCE``.
+4. Members with a pair that survives bring their texts to that band's bucket, where such pairs are verified on the exact
+   sets. Only candidates are verified: a chain of texts each like the next costs its links, not their closure.
+
+Pairs are never emitted. A bucket of many members is dealt to tasks as pairs of blocks of its members, which
+compare within memory and return one row per member.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanwork.llm import textbytes as tb
-from gleanwork.llm.components import components, contract
+from gleanwork.llm.components import components
 from gleanwork.llm.shared import materialise
 
 WIDTH = 5
@@ -31,8 +32,10 @@ BANDS, ROWS = 40, 6
 #: MinHash values kept, a byte each, for the incremental comparison.
 KEPT, STEP = 128, 16
 TOLERANCE = 1e-6
-#: Members of a block, of MinHash bytes and of texts.
-BUCKET_BLOCK, TEXT_BLOCK = 256, 64
+#: Members of a block.
+BLOCK = 256
+#: Pairs compared at once.
+PAIRS = 250_000
 _RNG = np.random.default_rng(20240229)
 _XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _MUL = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -57,22 +60,22 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sketch(batches):
-    names = ["set_key", "n_shingles", "bands", "sig"]
+    names = ["set_key", "n_shingles", "bands", "marks", "sig"]
     for batch in batches:
         buf, offs = tb.column(batch.column("text"))
         for lo, hi, b, o in tb.pieces(buf, offs):
             sets = tb.shingle_sets(b, o, WIDTH)
             full = [i for i, s in enumerate(sets) if len(s)]
-            keys, bands, sigs = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            keys, bands, marks, sigs = ([None] * len(sets) for _ in range(4))
             if full:
                 m = minhashes([sets[i] for i in full])
                 h = np.zeros((len(full), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
                 for r in range(ROWS):
                     h = tb.mix(h * np.uint64(0xD1342543DE82EF95) + m[:, r::ROWS].astype(np.uint64))
-                h, small = h.view(np.int64), (m[:, :KEPT] * np.uint32(2654435769) >> np.uint32(24)).astype(np.uint8)
+                h, short, small = h.view(np.int64), (h >> np.uint64(32)).astype(np.uint32), (m[:, :KEPT] * np.uint32(2654435769) >> np.uint32(24)).astype(np.uint8)
                 for at, i in enumerate(full):
-                    keys[i], bands[i], sigs[i] = int(set_key(sets[i]).view(np.int64)), h[at], small[at].tobytes()
-            made = [pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+                    keys[i], bands[i], marks[i], sigs[i] = int(set_key(sets[i]).view(np.int64)), h[at], short[at].tobytes(), small[at].tobytes()
+            made = [pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(sigs, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("text_key").slice(lo, hi - lo), *made], ["doc_id", "text_key", *names])
 
 
@@ -92,6 +95,15 @@ def least_matches(threshold: float = THRESHOLD) -> np.ndarray:
     return np.array(out)
 
 
+def first_shared(marks: np.ndarray, number: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Positions of the pairs that share no band before that of their number; marks are 32 bits of each band."""
+    alive = np.arange(len(left))
+    for k in range(BANDS):
+        own = marks[:, k]
+        alive = alive[(number[left[alive]] <= k) | (own[left[alive]] != own[right[alive]])]
+    return alive
+
+
 def survivors(sig: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
     """Positions of the pairs that incremental comparison does not drop."""
     alive, matches = np.arange(len(left)), np.zeros(len(left), np.int64)
@@ -168,28 +180,44 @@ def _bytes_matrix(col: pa.ChunkedArray) -> np.ndarray:
     return buf.reshape(len(offs) - 1, -1)
 
 
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _bucket_links(batches):
-    """Of each bucket block, a forest of the pairs that survive."""
-    for t, edge in grouped(batches, ["band", "one", "two"]):
-        keys, at = np.unique(t.column("set_key").to_numpy(), return_inverse=True)
-        sig = np.empty((len(keys), KEPT), np.uint8)
-        sig[at] = _bytes_matrix(t.column("sig"))
-        left, right = pairs_of(edge, *(t.column(c).to_numpy() for c in ("block", "one", "two")))
-        a, b = np.minimum(at[left], at[right]), np.maximum(at[left], at[right])
-        both = np.unique((a * len(keys) + b)[a != b])  # a pair meets in many buckets
-        a, b = both // len(keys), both % len(keys)
-        parts = [lo + survivors(sig, a[lo : lo + 500_000], b[lo : lo + 500_000]) for lo in range(0, len(a), 500_000)]
-        live = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        root = roots(len(keys), a[live], b[live])
-        far = np.flatnonzero(root != np.arange(len(keys)))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[far]), pa.array(keys[root[far]])], schema=_EDGES)
-
-
-def common(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets."""
+def _candidates(t: pa.Table, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs of each bucket block that are this band's and survive."""
+    sig, marks = _bytes_matrix(t.column("sig")), _bytes_matrix(t.column("marks")).view(np.uint32)
+    number, columns = t.column("number").to_numpy(), [t.column(c).to_numpy() for c in ("block", "one", "two")]
+    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    at = 0
+    while at < len(edge) - 1:  # some blocks at a time
+        upto = at + 1
+        while upto < len(edge) - 1 and (edge[upto + 1] - edge[at]) * BLOCK < PAIRS:
+            upto += 1
+        left, right = pairs_of(edge[at : upto + 1], *columns)
+        for lo in range(0, len(left), PAIRS):
+            a, b = left[lo : lo + PAIRS], right[lo : lo + PAIRS]
+            own = first_shared(marks, number, a, b)
+            own = own[survivors(sig, a[own], b[own])]
+            lefts.append(a[own])
+            rights.append(b[own])
+        at = upto
+    return np.concatenate(lefts), np.concatenate(rights)
+
+
+UNIT = ["band", "one", "two"]
+_MEMBER = "band long, one int, two int, block int, set_key long"
+
+
+def _active(batches):
+    """Members of bucket blocks that have a pair which survives there."""
+    for t, edge in grouped(batches, UNIT):
+        left, right = _candidates(t, edge)
+        some = np.unique(np.concatenate([left, right]))
+        if len(some):
+            yield from t.select(["band", "one", "two", "block", "set_key"]).take(pa.array(some)).to_batches()
+
+
+def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets: of few by merging, of many by products of blocks of columns."""
+    if len(left) < 2 * len(sets):
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(left, right, strict=True)], np.int64)
     n = len(sets)
     ids, count = np.unique(np.concatenate(sets), return_counts=True)
     ids = ids[count > 1]
@@ -203,41 +231,34 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
             at = at[(at < len(part)) & (part[np.minimum(at, len(part) - 1)] == own)]
             x[i, at] = 1
         out += x @ x.T
-    return out
+    return out[left, right].astype(np.int64)
 
 
 _LINKS = pa.schema([("set_key", pa.int64()), ("n_links", pa.int64()), ("n_class_links", pa.int64()), ("root", pa.int64())])
 
 
 def _verify(batches):
-    """Of each cluster block, every member's exact links in it, and a forest of them."""
-    for t, edge in grouped(batches, ["label", "one", "two"]):
-        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            g = t.slice(int(lo), int(hi - lo))
-            keys, first = np.unique(g.column("set_key").to_numpy(), return_index=True)
-            g = g.take(pa.array(first))
-            n = len(keys)
-            block, one, two = (g.column(c).to_numpy() for c in ("block", "one", "two"))
-            order = np.argsort(block, kind="stable")
-            left, right = pairs_of(np.array([0, n]), block[order], one[order], two[order])
-            left, right = order[left], order[right]
-            live = survivors(_bytes_matrix(g.column("sig")), left, right)
-            left, right = left[live], right[live]
-            if len(left):
-                buf, offs = tb.column(g.column("text"))
-                sets = tb.shingle_sets(buf, offs, WIDTH)
-                both = common(sets)[left, right]
-                sizes = np.array([len(s) for s in sets])
-                # in whole numbers: both / union >= threshold
-                linked = both * 1000 >= round(THRESHOLD * 1000) * (sizes[left] + sizes[right] - both)
-                left, right = left[linked], right[linked]
-            docs = g.column("n_docs").to_numpy()
-            links, classes = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            np.add.at(links, left, docs[right])
-            np.add.at(links, right, docs[left])
-            np.add.at(classes, left, 1)
-            np.add.at(classes, right, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(links), pa.array(classes), pa.array(keys[roots(n, left, right)])], schema=_LINKS)
+    """Every member's exact links that are its bucket block's, and a forest of them."""
+    for t, edge in grouped(batches, UNIT):
+        left, right = _candidates(t, edge)
+        keys, docs, text = t.column("set_key").to_numpy(), t.column("n_docs").to_numpy(), t.column("text")
+        of = np.searchsorted(edge, left, "right")
+        for unit in np.unique(of):
+            a, b = left[of == unit], right[of == unit]
+            rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            a, b = at[: len(a)], at[len(a) :]
+            sets = tb.shingle_sets(*tb.column(text.take(pa.array(rows))), WIDTH)
+            both, sizes = common(sets, a, b), np.array([len(s) for s in sets])
+            # in whole numbers: both / union >= threshold
+            linked = both * 1000 >= round(THRESHOLD * 1000) * (sizes[a] + sizes[b] - both)
+            a, b = a[linked], b[linked]
+            links, classes = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+            np.add.at(links, a, docs[rows[b]])
+            np.add.at(links, b, docs[rows[a]])
+            np.add.at(classes, a, 1)
+            np.add.at(classes, b, 1)
+            some = np.flatnonzero(classes)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[rows[some]]), pa.array(links[some]), pa.array(classes[some]), pa.array(keys[rows[roots(len(rows), a, b)[some]]])], schema=_LINKS)
 
 
 def _blocks(rows: DataFrame, size: str, block: int, *keys: str) -> DataFrame:
@@ -261,23 +282,25 @@ def similarity_join(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
-    made = rows.mapInArrow(_sketch, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, set_key long, n_shingles long, bands array<long>, sig binary")
+    made = rows.mapInArrow(_sketch, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, set_key long, n_shingles long, bands array<long>, marks binary, sig binary")
     sketches = materialise(made, "ngram-sketches")
     classes = sketches.where("set_key is not null").groupBy("set_key").agg(
-        F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "text_key")).alias("of")
+        *[F.first(c).alias(c) for c in ("bands", "marks", "sig")], F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "text_key")).alias("of")
     )
     classes = materialise(classes, "ngram-classes")
-    bands = classes.select("set_key", F.explode("bands").alias("band"))
+    bands = classes.select("set_key", F.posexplode("bands").alias("number", "band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = bands.join(shared, "band").join(classes.select("set_key", "sig"), "set_key")
-    edges = materialise(_blocks(buckets, "members", BUCKET_BLOCK, "band").select("band", "one", "two", "block", "set_key", "sig").mapInArrow(_bucket_links, "a long, b long").distinct(), "ngram-edges")
-    clusters = components(contract(edges))  # a class has a neighbour in each of its bands' blocks at most
-    members = clusters.withColumnRenamed("node", "set_key").join(clusters.groupBy("label").agg(F.count(F.lit(1)).alias("members")), "label")
-    members = members.join(classes.select("set_key", "sig", "n_docs", "of"), "set_key")
+    buckets = bands.join(shared, "band").join(classes.select("set_key", "marks", "sig"), "set_key")
+    active = _blocks(buckets, "members", BLOCK, "band").select("band", "one", "two", "block", "number", "set_key", "marks", "sig").mapInArrow(_active, _MEMBER)
+    active = materialise(active, "ngram-active")
     # one row of each class brings its text; the pair of keys keeps copies of one text apart
-    texts = members.join(rows.withColumnRenamed("doc_id", "row_id"), (F.col("of.text_key") == F.col("text_key")) & F.col("of.doc_id").eqNullSafe(F.col("row_id")))
-    dealt = _blocks(texts.select("label", "members", "set_key", "sig", "n_docs", "text"), "members", TEXT_BLOCK, "label")
-    links = materialise(dealt.select("label", "one", "two", "block", "set_key", "sig", "n_docs", "text").mapInArrow(_verify, "set_key long, n_links long, n_class_links long, root long"), "ngram-links")
+    members = active.select("set_key").distinct().join(classes.select("set_key", "n_docs", "marks", "sig", "bands", "of"), "set_key")
+    texts = members.join(rows.withColumnRenamed("doc_id", "row_id"), (F.col("of.text_key") == F.col("text_key")) & F.col("of.doc_id").eqNullSafe(F.col("row_id"))).dropDuplicates(["set_key"])
+    texts = materialise(texts.select("set_key", "n_docs", "marks", "sig", "bands", "text"), "ngram-texts")
+    dealt = active.join(texts, "set_key").withColumn("number", F.array_position("bands", F.col("band")).cast("int") - 1)
+    dealt = dealt.repartition(*UNIT).sortWithinPartitions(*UNIT, "block")
+    links = dealt.select("band", "one", "two", "block", "number", "set_key", "marks", "sig", "n_docs", "text").mapInArrow(_verify, "set_key long, n_links long, n_class_links long, root long")
+    links = materialise(links, "ngram-links")
     group = components(links.select(F.col("set_key").alias("a"), F.col("root").alias("b")))
     per_class = links.groupBy("set_key").agg(F.sum("n_links").alias("n_links"), F.sum("n_class_links").alias("n_class_links")).join(group.withColumnRenamed("node", "set_key"), "set_key")
     named = per_class.join(classes.select("set_key", "class_id"), "set_key")
@@ -285,7 +308,9 @@ def similarity_join(docs: DataFrame) -> DataFrame:
     per_class = named.join(least, "label").select("set_key", "n_links", "n_class_links", "group_id")
     per_class = classes.select("set_key", "class_id", "n_docs").join(per_class, "set_key", "left")
     per_class = materialise(per_class, "ngram-classes")
-    out = sketches.select("doc_id", "text_key", "set_key").join(per_class, "set_key", "left")
+    # texts without words have no class to meet, and are apart from the join
+    out = sketches.where("set_key is not null").select("doc_id", "text_key", "set_key").join(per_class, "set_key", "left")
+    out = out.unionByName(sketches.where("set_key is null").select("doc_id", "text_key", "set_key"), allowMissingColumns=True)
     links_of = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
         "doc_id",

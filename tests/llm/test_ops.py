@@ -758,8 +758,8 @@ def groups_of(docs, links):
 
 
 def test_links_and_groups(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "TEXT_BLOCK", 8)
-    monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "PAIRS", 50)
     docs = {i: prose(i, 60) for i in range(50)}
     for g in range(8):
         base = prose(1000 + g, 150)
@@ -773,6 +773,16 @@ def test_links_and_groups(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept) == sorted(set(groups.values()))
 
 
+def test_chains(spark):
+    """Each text is like the next and not like the others."""
+    words = prose(31, 400).replace("\n", "").split(" ")
+    docs = {i: " ".join(words[3 * i : 3 * i + 60]) for i in range(60)}
+    links = brute_links(docs)
+    assert max(map(len, links.values())) <= 4
+    got = ngram_join.similarity_join(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_links, r.group_id) for r in got} == {i: (len(links[i]), 0) for i in docs}
+
+
 def test_links_on_documents(spark):
     docs = {i: r.text for i, r in table(spark, "documents").items()}
     links = brute_links(docs)
@@ -800,8 +810,7 @@ def test_components(spark):
         for a, b in edges:
             name[a] = name[b] = min(name[a], name[b])
     df = spark.createDataFrame(edges, "a long, b long")
-    for e in (df, components.contract(df).unionByName(df.where("a = b"))):
-        assert {x.node: x.label for x in components.components(e).collect()} == name
+    assert {x.node: x.label for x in components.components(df).collect()} == name
 
 
 # ---------------------------------------------------------------- entry
