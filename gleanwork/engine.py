@@ -26,8 +26,8 @@ from gleanwork.sources import scan as sc
 from gleanwork.sources import storage
 from gleanwork.sources.extract.router import NAME_ONLY_REASON, UNKNOWN_TYPE
 
-#: Files of a commit, and commits of a run: beyond, each takes more files.
-COMMIT_EVERY, MOST_COMMITS = manifest.COMMIT_EVERY, 64
+#: Files of a commit; where a run has more commits than this, each takes more files, up to as many as can be opened by name.
+COMMIT_EVERY, FEW_COMMITS = manifest.COMMIT_EVERY, 64
 
 
 @dataclass(frozen=True)
@@ -118,7 +118,8 @@ class Engine:
         known, name_only = catalog.category(F.col("extension")).isNotNull() | F.col("extension").isin([*self.router.readers]), F.coalesce(catalog.strategy_of(F.col("extension")) == catalog.NAME_ONLY, F.lit(False))
         todo = todo.withColumn("gate", manifest.gate(known, name_only, F.col("size_bytes"), profile.max_content_bytes)).persist()
         n_todo = counts.get(schemas.ADDED, 0) + counts.get(schemas.UPDATED, 0)
-        parts = 1 if rebuild else max(1, min(MOST_COMMITS, -(-n_todo // COMMIT_EVERY)))
+        size = max(COMMIT_EVERY, min(sc.BY_NAME // 2, -(-n_todo // FEW_COMMITS)))  # few enough to be opened by name
+        parts = 1 if rebuild else max(1, -(-n_todo // size))
         own = F.lit(profile.id).alias("profile_id")
         removed = changes.where(F.col("status") == schemas.REMOVED).select(own, "path")
         for i in range(parts):
