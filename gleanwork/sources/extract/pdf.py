@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import zlib
 
+from gleanwork.sources.extract import cipher
+
 _OBJ = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
 _SPACE = b"\x00\t\n\x0c\r "
 _SPECIAL = _SPACE + b"()<>[]{}/%"
@@ -119,6 +121,7 @@ class Document:
         if b"%PDF-" not in data[:1024]:
             raise ValueError("not a PDF file")
         self.objects: dict[int, tuple[object, bytes | None]] = {}
+        self.generations: dict[int, int] = {}
         for m in _OBJ.finditer(data):
             r = Reader(data, m.end())
             value, body = r.value(), None
@@ -131,15 +134,34 @@ class Document:
                     end = at + size if type(size) is int and data[at + size : at + size + 12].lstrip().startswith(b"endstream") else data.find(b"endstream", at)
                     body = data[at : end if end >= 0 else len(data)]
             self.objects[int(m[1])] = (value, body)
+            self.generations[int(m[1])] = int(m[2])
+        trailers = [Reader(data, m.end()).value() for m in re.finditer(rb"\btrailer\b", data)] + [v for v, _ in self.objects.values() if isinstance(v, dict) and v.get("Type") == "XRef"]
+        trailers = [t for t in trailers if isinstance(t, dict)]
+        locked = next((t for t in trailers if "Encrypt" in t), None)
+        if locked:
+            self._unlock(locked)
         for value, body in list(self.objects.values()):
             if isinstance(value, dict) and value.get("Type") == "ObjStm" and body is not None:
                 self._unpack(value, self.unfilter(value, body))
-        trailers = [Reader(data, m.end()).value() for m in re.finditer(rb"\btrailer\b", data)] + [v for v, _ in self.objects.values() if isinstance(v, dict) and v.get("Type") == "XRef"]
-        trailers = [t for t in trailers if isinstance(t, dict)]
-        if any("Encrypt" in t for t in trailers):
-            raise ValueError("PDF 已加密 (encrypted)")
         self.root = next((self.get(t["Root"]) for t in reversed(trailers) if isinstance(self.get(t.get("Root")), dict)), None)
 
+    def _unlock(self, trailer: dict) -> None:
+        """Decipher all streams of a file that opens without a password."""
+        e, ids = self.get(trailer["Encrypt"]) or {}, self.get(trailer.get("ID")) or [b""]
+        field = lambda name, other=None: other if self.get(e.get(name)) is None else self.get(e.get(name))
+        version, revision = field("V", 0), field("R", 0)
+        method = (self.get((field("CF") or {}).get(field("StmF"))) or {}).get("CFM") if version == 4 else "V2" if version in (1, 2) else None
+        key = None
+        if field("Filter") == "Standard" and method in ("V2", "AESV2") and isinstance(field("O"), bytes) and isinstance(field("U"), bytes):
+            size = 5 if revision < 3 else 16 if version == 4 else field("Length", 40) // 8
+            key = cipher.file_key(field("O"), field("U"), field("P", 0), self.get(ids[0]), revision, size, field("EncryptMetadata", True) is not False)
+        if key is None:
+            raise ValueError("PDF 已加密 (encrypted)")
+        for number, (value, body) in list(self.objects.items()):
+            if body and isinstance(value, dict) and value.get("Type") != "XRef":
+                own = cipher.object_key(key, number, self.generations.get(number, 0), method == "AESV2")
+                self.objects[number] = (value, cipher.aes_cbc(own, body) if method == "AESV2" else cipher.rc4(own, body))
+
     def _unpack(self, head: dict, data: bytes) -> None:
         n, first = self.get(head.get("N")), self.get(head.get("First"))
         r = Reader(data)

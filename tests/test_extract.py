@@ -105,6 +105,37 @@ def test_pdf():
     assert not R.extract("pdf", b"nonsense")[0]
 
 
+def test_ciphers():
+    from gleanwork.sources.extract import cipher
+
+    assert cipher.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+    plain = bytes.fromhex("00112233445566778899aabbccddeeff")
+    for size, secret in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (32, "8ea2b7ca516745bfeafc49904b496089")):  # the standard's examples
+        assert cipher.aes_cbc(bytes(range(size)), bytes(16) + bytes.fromhex(secret)) == plain
+
+
+def test_pdf_with_an_empty_password():
+    import hashlib
+
+    from gleanwork.sources.extract import cipher
+
+    first, owner, permissions = b"0123456789abcdef", b"o" * 32, -44
+    key = hashlib.md5(cipher.PAD + owner + (permissions & 0xFFFFFFFF).to_bytes(4, "little") + first).digest()
+    for _ in range(50):
+        key = hashlib.md5(key).digest()
+    user = cipher.rc4(key, hashlib.md5(cipher.PAD + first).digest())
+    for i in range(1, 20):
+        user = cipher.rc4(bytes(b ^ i for b in key), user)
+    plain = pdf(b"BT /F1 12 Tf (Secret words) Tj ET")
+    start, end = plain.index(b"stream\n") + 7, plain.index(b"\nendstream")
+    secret = cipher.rc4(cipher.object_key(key, 4, 0, False), plain[start:end])
+    made = plain[:start] + secret + plain[end:]
+    lock = lambda u: b"/ID[<%s><%s>]/Encrypt<</Filter/Standard/V 2/R 3/Length 128/P %d/O<%s>/U<%s>>>" % (first.hex().encode(), first.hex().encode(), permissions, owner.hex().encode(), u.hex().encode())
+    assert R.extract("pdf", made.replace(b"/Root 1 0 R", b"/Root 1 0 R" + lock(user + bytes(16)))) == (True, "Secret words", None)
+    ok, _, why = R.extract("pdf", made.replace(b"/Root 1 0 R", b"/Root 1 0 R" + lock(bytes(32))))  # another password
+    assert not ok and "加密" in why
+
+
 def compound(streams):
     """A compound file of 512-byte sectors; every stream is stored whole in sectors."""
     sectors, fat, entries = [], [], []
