@@ -98,7 +98,7 @@ def least_matches(threshold: float = THRESHOLD) -> np.ndarray:
 def first_shared(marks: np.ndarray, number: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Positions of the pairs that share no band before that of their number; marks are 32 bits of each band."""
     alive = np.arange(len(left))
-    for k in range(BANDS):
+    for k in range(int(number.max()) if len(number) else 0):
         own = marks[:, k]
         alive = alive[(number[left[alive]] <= k) | (own[left[alive]] != own[right[alive]])]
     return alive
