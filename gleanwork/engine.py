@@ -177,8 +177,8 @@ class Engine:
         query = parse(raw, scope)
         if query is None or not tables:
             return SearchResult(self.spark.createDataFrame([], schemas.RESULT), 0)
-        docs, postings = (_union([t.read(name) for t in tables]) for name in ("docs", "postings"))
-        return search(query, docs, postings, k, highlights, category, filter_before_limit, norm)
+        docs, postings, terms = (_union([t.read(name) for t in tables]) for name in ("docs", "postings", "terms"))
+        return search(query, docs, postings, k, highlights, category, filter_before_limit, norm, terms)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -188,9 +188,9 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def search(query: Query, docs: DataFrame, postings: DataFrame, k: int = planner.TOP, highlights: bool = True, category: str | None = None, filter_before_limit: bool = False, norm: str = "lucene") -> SearchResult:
+def search(query: Query, docs: DataFrame, postings: DataFrame, k: int = planner.TOP, highlights: bool = True, category: str | None = None, filter_before_limit: bool = False, norm: str = "lucene", terms: DataFrame | None = None) -> SearchResult:
     """Search over tables. Stored columns are joined and marked for the k best only."""
-    plan = planner.Plan(query, docs, postings, norm)
+    plan = planner.Plan(query, docs, postings, norm, terms)
     hits = plan.matches().persist()
     total = hits.count()
     wanted = None if category in (None, "all") else catalog.category(T.extension("path")) == category

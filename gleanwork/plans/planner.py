@@ -18,6 +18,8 @@ from gleanwork.schemas import CONTENT, NAME
 
 FIELDS = {Scope.BOTH: (NAME, CONTENT), Scope.NAME: (NAME,), Scope.CONTENT: (CONTENT,)}
 TOP = 200
+#: Terms of a wildcard that postings are looked up by; one that has more is matched against the postings.
+EXPANDED = 1000
 KEYS = ("profile_id", "path")
 
 
@@ -42,14 +44,26 @@ def wildcard_predicate(column: Column, pattern: str) -> Column:
     return column.rlike(wildcard_regex(pattern))
 
 
-def term_filter(query: Query) -> Column:
+def expand(query: Query, terms: DataFrame | None) -> dict[str, list[str]]:
+    """The terms that each content wildcard stands for, where the index has a table of terms and they are few."""
+    out = {}
+    for c in query.clauses if terms is not None else ():
+        if c.kind is Kind.WILDCARD and CONTENT in fields_of(c, query) and c.text not in out:
+            found = terms.where((F.col("field") == CONTENT) & wildcard_predicate(F.col("term"), c.text)).select("term").distinct().limit(EXPANDED + 1).collect()
+            if len(found) <= EXPANDED:
+                out[c.text] = sorted(r.term for r in found)
+    return out
+
+
+def term_filter(query: Query, expanded: dict[str, list[str]] | None = None) -> Column:
     """Postings that can matter to the query."""
-    parts = []
+    parts, expanded = [], expanded or {}
     for c in query.clauses:
         inside = F.col("field").isin(*fields_of(c, query))
         if c.kind is Kind.WILDCARD:
             if CONTENT in fields_of(c, query):
-                parts.append((F.col("field") == CONTENT) & wildcard_predicate(F.col("term"), c.text))
+                few = expanded.get(c.text)
+                parts.append((F.col("field") == CONTENT) & (wildcard_predicate(F.col("term"), c.text) if few is None else F.col("term").isin(*few) if few else F.lit(False)))
         else:
             parts.append(inside & F.col("term").isin(*dict.fromkeys(c.tokens)))
     return _any(parts)
@@ -85,8 +99,9 @@ def norm(length: Column, kind: str) -> Column:
 class Plan:
     """The parts of a search: ``matches`` (profile_id, path, score) of all hits, unordered."""
 
-    def __init__(self, query: Query, docs: DataFrame, postings: DataFrame, norm: str = "exact"):
+    def __init__(self, query: Query, docs: DataFrame, postings: DataFrame, norm: str = "exact", terms: DataFrame | None = None):
         self.query, self.docs, self.postings, self.norm = query, docs, postings, norm
+        self.expanded = expand(query, terms)
 
     def _entry(self, field: str, term: str) -> Column:
         """The document's posting of a term, or null: (tf, positions, field_len)."""
@@ -151,7 +166,7 @@ class Plan:
         key = F.concat_ws("\t", "field", "term")
         content = [F.coalesce(F.bool_or((F.col("field") == CONTENT) & wildcard_predicate(F.col("term"), c.text)), F.lit(False)).alias(f"wild_{CONTENT}_{i}") for i, c in wild if CONTENT in fields_of(c, q)]
         terms = F.map_from_entries(F.collect_list(F.when(exact, F.struct(key, entry)))).alias("terms")
-        rows = self.postings.where(term_filter(q)).groupBy(*KEYS).agg(terms, *content)
+        rows = self.postings.where(term_filter(q, self.expanded)).groupBy(*KEYS).agg(terms, *content)
         names = [(i, c) for i, c in wild if NAME in fields_of(c, q)]
         if names or not q.positive:
             flags = [wildcard_predicate(F.col("file_name_lc"), c.text).alias(f"wild_{NAME}_{i}") for i, c in names]

@@ -21,7 +21,7 @@ from gleanwork.sources import storage
 FANOUT, HIDDEN = 8, 0.5
 #: Commits for which merged segments stay for readers of older states.
 KEPT = 2
-TABLES = {"docs": schemas.DOCS, "postings": schemas.POSTINGS, "manifest": schemas.MANIFEST}
+TABLES = {"docs": schemas.DOCS, "postings": schemas.POSTINGS, "manifest": schemas.MANIFEST, "terms": schemas.TERMS}
 GONE = "profile_id string, path string"
 
 
@@ -53,14 +53,14 @@ class IndexTable:
     # ------------------------------------------------------------ reading
 
     def read(self, table: str) -> DataFrame:
-        """The live rows of a table; none before the first commit."""
+        """The live rows of a table; none before the first commit. ``terms`` may have some of hidden rows too."""
         return self._live(table, self.segments())
 
     def _live(self, table: str, segments: list[dict]) -> DataFrame:
         if not segments:
             return self.spark.createDataFrame([], TABLES[table])
         rows = self._files(table, TABLES[table], segments)
-        if not any(s["gone"] for s in segments[1:]):
+        if table == "terms" or not any(s["gone"] for s in segments[1:]):
             return rows
         number = F.regexp_extract(F.col("_metadata.file_path"), r"/segments/(\d+)/", 1).cast("long")
         names = rows.columns
@@ -114,6 +114,8 @@ class IndexTable:
         gone.write.mode("overwrite").parquet(f"{to}/gone")
         stored = self.spark.read.schema(schemas.DOCS).parquet(f"{to}/docs")
         index.postings(stored).repartitionByRange("field", "term", "path").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{to}/postings")
+        terms = self.spark.read.schema(schemas.POSTINGS).parquet(f"{to}/postings").select("field", "term").distinct()
+        terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{to}/terms")
         return {"id": number, "rows": stored.count(), "gone": self.spark.read.schema(GONE).parquet(f"{to}/gone").count()}
 
     @staticmethod

@@ -92,7 +92,7 @@ def test_unreadable_directories(tmp_path):
     write(f"{root}/shut/b.txt")
     os.chmod(f"{root}/shut", 0)
     try:
-        files, closed, failed = walk(root, ["TXT"])
+        files, closed, failed, _ = walk(root, ["TXT"])
         if os.geteuid():
             assert closed == [f"{root}/shut"] and [f[0] for f in files] == [f"{root}/open/a.txt"]
         else:
@@ -216,3 +216,28 @@ def test_manifest_over_a_real_scan(spark, tmp_path):
     twice = old.where("size_bytes = 6").unionByName(old.where("size_bytes = 6").withColumn("size_bytes", F.lit(99)))
     after = manifest.upsert(old, twice, order=("size_bytes",))
     assert after.count() == old.count() and after.where("size_bytes = 99").count() == 1
+
+
+def test_walks_are_dealt(spark, tmp_path, monkeypatch):
+    from gleanwork.sources import scan as module
+
+    for i in range(40):
+        write(f"{tmp_path}/a{i % 5}/b{i % 3}/f{i}.txt", "x" * i)
+    want = {r.path: r.size_bytes for r in scan(spark, str(tmp_path), ["txt"])[0].collect()}
+    monkeypatch.setattr(module, "DEALT", 4)
+    files, closed, failed = scan(spark, str(tmp_path), ["txt"])
+    assert {r.path: r.size_bytes for r in files.collect()} == want and len(want) == 40 and not closed and not failed
+
+
+def test_wildcards_are_looked_up(spark, tmp_path, monkeypatch):
+    from gleanwork.plans import planner
+
+    t = IndexTable(spark, f"{tmp_path}/i")
+    t.append(table(spark, [(f"/d/{i}.txt", "txt", 10, f"word{i} other", True) for i in range(20)], "p"))
+    q = parse("word1* oth??")
+    assert planner.expand(q, t.read("terms")) == {"word1*": ["word1", *(f"word1{i}" for i in range(10))], "oth??": ["other"]}
+    hits = lambda: {r.path for r in search(q, t.read("docs"), t.read("postings"), terms=t.read("terms")).df.collect()}
+    few = hits()
+    monkeypatch.setattr(planner, "EXPANDED", 1)
+    assert hits() == few == {f"/d/{i}.txt" for i in (1, *range(10, 20))}
+    assert planner.expand(parse("none*"), t.read("terms")) == {"none*": []}
