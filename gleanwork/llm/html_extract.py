@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanwork.llm import textbytes as tb
-from gleanwork.llm.shared import materialise
+from gleanwork.llm.shared import materialise, meet
 
 #: Share of a host's pages that a valid class of containers, and one of texts, needs at least; pages of a host for a template.
 SUPPORT, TEXT_SUPPORT = 0.5, 0.8
@@ -42,6 +42,8 @@ ASIDE = 20
 LINKS = 0.5
 #: A host whose text is template for more than this share, or such a page, is of copies and keeps its texts.
 COPY = 0.9
+#: Pages from which a host counts as hot when templates are too many to be broadcast.
+HOT = 10_000
 ARTICLE = re.compile(r">(article|main)(\.[^>]*)?$")
 PAGE = re.compile(r"(^|>(html|body)(\.[^>]*)?)$")
 
@@ -352,18 +354,18 @@ def deduce(rows: list[dict]) -> dict | None:
     return {"main": main.path, "around": around, "gone": gone, "kept": kept, "texts": [t["token"] for t in texts], "classes": n}
 
 
-_TEMPLATE = pa.schema([("host", pa.string()), ("main", pa.string()), ("around", pa.bool_()), ("gone", pa.list_(pa.string())), ("kept", pa.list_(pa.string())), ("texts", pa.list_(pa.int64())), ("classes", pa.int64())])
+_TEMPLATE = pa.schema([("host", pa.string()), ("pages", pa.int64()), ("main", pa.string()), ("around", pa.bool_()), ("gone", pa.list_(pa.string())), ("kept", pa.list_(pa.string())), ("texts", pa.list_(pa.int64())), ("classes", pa.int64())])
 
 
 def _deduce(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     made = deduce(rows)
-    return pa.Table.from_pylist([{"host": rows[0]["host"], **made}] if made else [], schema=_TEMPLATE)
+    return pa.Table.from_pylist([{"host": rows[0]["host"], "pages": rows[0]["host_pages"], **made}] if made else [], schema=_TEMPLATE)
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """One row per host that has a template: see ``deduce``."""
-    return tokens_of(pages).groupBy("host").applyInArrow(_deduce, "host string, main string, around boolean, gone array<string>, kept array<string>, texts array<long>, classes long")
+    return tokens_of(pages).groupBy("host").applyInArrow(_deduce, "host string, pages long, main string, around boolean, gone array<string>, kept array<string>, texts array<long>, classes long")
 
 
 def _main_text(page: str, template: dict | None) -> str:
@@ -401,7 +403,7 @@ def extract(pages: DataFrame) -> DataFrame:
     found = materialise(templates(rows), "html-templates")  # its size decides about a broadcast
     schema = rows.schema
     kinds = ", ".join(f"{c} {schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
-    return rows.drop("key").join(found, "host", "left").select("page_id", "url", "html", "main", "around", "gone", "kept", "texts").mapInArrow(_extract, f"{kinds}, text string, n_chars long")
+    return meet(rows.drop("key"), found, "host", "pages", HOT).select("page_id", "url", "html", "main", "around", "gone", "kept", "texts").mapInArrow(_extract, f"{kinds}, text string, n_chars long")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,3 +69,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     made = {n.lower() for n in names}
     clash = [c for c in df.columns if c.lower() in made]
     return df.drop(*clash) if clash else df
+
+
+def meet(rows: DataFrame, table: DataFrame, key: str, copies: str, hot: int, salts: int = 64) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has a row for some keys and in ``copies`` (dropped) the number of rows of each.
+
+    Where the table is small Spark broadcasts it. Beyond that, keys of ``hot`` rows or more are broadcast alone, at most
+    rows / hot of them: their rows are dealt to ``salts`` tasks, and the table has a copy of theirs for each. Null keys meet nothing."""
+    salt, frequent = free_name(rows, "_salt"), free_name(rows, "_hot")
+    many = table.where(F.col(copies) >= hot).select(F.col(key).alias(frequent))
+    rows = rows.join(F.broadcast(many), F.col(key) == F.col(frequent), "left")  # rows / hot keys at most
+    dealt = F.when(F.col(frequent).isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    every = F.explode(F.when(F.col(copies) >= hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    return rows.withColumn(salt, dealt).drop(frequent).join(table.withColumn(salt, every).drop(copies), [key, salt], "left").drop(salt)

@@ -599,7 +599,7 @@ def test_classes_share_vectors(spark):
     (t,) = html_extract.templates(html_extract.with_host(make(rows))).collect()
     assert t.main == ">html>body>article" and len(t.texts) == 1 and t.classes == 1 and t.gone == [">html>body>div.a"]
     (twice,) = html_extract.templates(html_extract.with_host(make(rows + rows))).collect()  # every row twice
-    assert twice == t
+    assert twice.pages == 12 and twice.asDict() | {"pages": 6} == t.asDict()
     (parts,) = html_extract.templates(html_extract.with_host(make(rows).repartition(5))).collect()
     assert parts == t
 
@@ -641,6 +641,19 @@ def test_stray_quotes(spark):
     assert [r.text for r in got] == ["Hello\nmore"] * 3
 
 
+def test_hot_hosts(spark, monkeypatch):
+    made = [without_telling_names(i, 4) for i in range(8)]
+    pages = spark.createDataFrame([(i, f"http://{'hot' if i < 6 else 'cold'}/x", page) for i, (page, _) in enumerate(made)] + [(9, None, None)], "page_id long, url string, html string")
+    want = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    monkeypatch.setattr(html_extract, "HOT", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = html_extract.extract(pages).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == 9 and {r.page_id: r.text for r in rows} == want
+
+
 def test_names_match_whole_words():
     assert all(html_extract.is_marked(x) for x in ("ad", "cookie-notice", "site_footer", "a.comments", "post-comments")) and not any(html_extract.is_marked(x) for x in ("address", "product-search-results", "shadow", ""))
 
