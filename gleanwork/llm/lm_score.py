@@ -30,8 +30,8 @@ VOCABULARY = 4096
 SENT = 1 << 19
 #: Rounds of learning; the training documents are dealt to them, so each is learnt from.
 ROUNDS = 3
-#: Tokens of a learner, and of those it learns side by side.
-LEARNER, SEGMENT = 2_000_000, 1_000_000
+#: Tokens of a learner (more where a round would have over MOST learners), and of those it learns side by side.
+LEARNER, MOST, SEGMENT = 2_000_000, 4096, 1_000_000
 #: Tokens scored side by side in a task.
 SCORED = 2_000_000
 #: Bytes of text turned into numbers at once.
@@ -219,7 +219,7 @@ def learn(numbers: DataFrame, model: dict) -> dict:
     copies = rows.join(again.select("key"), "key", "left_semi").groupBy("key").agg(F.first("numbers").alias("numbers"), F.count(F.lit(1)).alias("n"))
     copies = copies.select("key", "numbers", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
     rows = rows.join(again.select("key"), "key", "left_anti").select("key", "numbers", F.lit(1).alias("copy")).unionByName(copies)
-    learners = max(1, -(-model["total"] // (ROUNDS * LEARNER)))
+    learners = max(1, min(MOST, -(-model["total"] // (ROUNDS * LEARNER))))
     dealt = F.xxhash64("key", "copy", F.lit(6))
     rows = rows.withColumns({"round": F.pmod(dealt, F.lit(ROUNDS)), "learner": F.pmod(F.floor(dealt / ROUNDS), F.lit(learners)).cast("int")})
     groups = math.isqrt(learners) + 1

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.llm import textbytes as tb
 from gleanwork.llm.components import components
-from gleanwork.llm.shared import materialise
+from gleanwork.llm.shared import materialise, release
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -308,6 +308,7 @@ def similarity_join(docs: DataFrame) -> DataFrame:
     per_class = named.join(least, "label").select("set_key", "n_links", "n_class_links", "group_id")
     per_class = classes.select("set_key", "class_id", "n_docs").join(per_class, "set_key", "left")
     per_class = materialise(per_class, "ngram-classes")
+    release(classes, active, texts, links)
     # texts without words have no class to meet, and are apart from the join
     out = sketches.where("set_key is not null").select("doc_id", "text_key", "set_key").join(per_class, "set_key", "left")
     out = out.unionByName(sketches.where("set_key is null").select("doc_id", "text_key", "set_key"), allowMissingColumns=True)

@@ -45,10 +45,18 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: later readers neither compute it
-    anew nor depend on the executors that made it."""
+    anew nor depend on the executors that made it. It goes with ``release``, or when the process ends."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove materialised tables that nothing lazy depends on any more."""
+    for df in tables:
+        _remove(df.sparkSession, df.written_to)
 
 
 def doc_key(*cols: str):
