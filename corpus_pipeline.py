@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanwork.llm import decontaminate, ngram_join, pieces, quality_classifier, toxicity
-from gleanwork.llm.shared import materialise
+from gleanwork.llm.shared import materialise, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,6 +55,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
