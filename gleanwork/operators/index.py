@@ -5,6 +5,8 @@ positions and cut into runs. Nothing is shuffled to make postings."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +42,9 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def runs(toks: Column) -> Column:
-    """(term, positions) of each distinct token of an array, in time that sorting it takes."""
+def runs(toks: Column, only=None) -> Column:
+    """(term, positions) of each distinct token of an array, in time that sorting it takes; of those alone
+    that ``only`` holds for where it is given."""
 
     def cut(pairs: Column) -> Column:
         n = F.size(pairs)
@@ -50,17 +53,20 @@ def runs(toks: Column) -> Column:
         run = lambda ends: lambda k, j: F.struct(F.get(pairs, k - 1)["term"].alias("term"), F.transform(F.slice(pairs, k, F.coalesce(F.get(ends, j + 1), n + 1) - k), lambda p: p["pos"]).alias("positions"))
         return _let(firsts, lambda ends: F.transform(ends, run(ends)))
 
-    return _let(F.array_sort(F.transform(toks, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))), cut)
+    pairs = F.transform(toks, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    return _let(F.array_sort(F.filter(pairs, lambda p: only(p["term"])) if only else pairs), cut)
 
 
-def postings(docs: DataFrame, tokenizer=T.analyze) -> DataFrame:
-    """(profile_id, field, term, path, tf, positions, field_len): a row per document, field and term."""
+def postings(docs: DataFrame, tokenizer=T.analyze, only=None, fields: tuple[str, ...] = (NAME, CONTENT)) -> DataFrame:
+    """(profile_id, field, term, path, tf, positions, field_len): a row per document, field and term, of the
+    terms alone that ``only`` (a function of columns) holds for where it is given."""
     parts = []
-    for field, column in ((NAME, "file_name"), (CONTENT, "content")):
+    for field in fields:
+        column = "file_name" if field == NAME else "content"
         toks = docs.select("profile_id", "path", tokenizer(F.col(column)).alias("toks")).withColumn("field_len", F.size("toks").cast("long"))
-        rows = toks.select("profile_id", "path", "field_len", F.explode(runs(F.col("toks"))).alias("run"))
+        rows = toks.select("profile_id", "path", "field_len", F.explode(runs(F.col("toks"), only)).alias("run"))
         parts.append(rows.select("profile_id", F.lit(field).alias("field"), "run.term", "path", F.size("run.positions").cast("long").alias("tf"), "run.positions", "field_len"))
-    return parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def frequencies(docs: DataFrame, field: str = CONTENT, tokenizer=T.analyze) -> DataFrame:

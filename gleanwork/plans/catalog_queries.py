@@ -62,13 +62,19 @@ def plan(spark: SparkSession, sf: str, raw: str, scope: Scope = Scope.CONTENT, p
     d = docs(spark, sf)
     if profiles:
         d = d.where(F.col("profile_id").isin(*profiles))
-    return planner.Plan(parse(raw, scope), d, index.postings(d), norm)
+    q = parse(raw, scope)
+    return planner.Plan(q, d, made_for(q, d), norm)
+
+
+def made_for(q, d: DataFrame) -> DataFrame:
+    """Postings of documents as far as a query reads them."""
+    return index.postings(d, only=planner.wanted(q), fields=planner.fields(q))
 
 
 def hits(spark: SparkSession, sf: str, raw: str, scope: Scope = Scope.CONTENT) -> DataFrame:
     q = parse(raw, scope)
     d = planner.candidates(docs(spark, sf), q)
-    return planner.Plan(q, d, index.postings(d)).matches(scored=False).select("path")
+    return planner.Plan(q, d, made_for(q, d)).matches(scored=False).select("path")
 
 
 # ---------------------------------------------------------------- sources, projections, scalars

@@ -69,6 +69,18 @@ def term_filter(query: Query, expanded: dict[str, list[str]] | None = None) -> C
     return _any(parts)
 
 
+def wanted(query: Query):
+    """Whether a term can matter to the query, for tables without postings, of which few are then made."""
+    tokens = list(dict.fromkeys(t for c in query.clauses for t in c.tokens))
+    patterns = [c.text for c in query.clauses if c.kind is Kind.WILDCARD and CONTENT in fields_of(c, query)]
+    return lambda term: _any([*([term.isin(*tokens)] if tokens else []), *(wildcard_predicate(term, p) for p in patterns)])
+
+
+def fields(query: Query) -> tuple[str, ...]:
+    """The fields whose postings a query reads."""
+    return tuple(f for f in (NAME, CONTENT) if any(f in fields_of(c, query) for c in query.clauses)) or (CONTENT,)
+
+
 def candidates(docs: DataFrame, query: Query) -> DataFrame:
     """Documents that may match, by substrings: for tables without postings, so that few texts are
     analysed. Every token of a positive clause is a substring of the lower-cased field it is in."""
