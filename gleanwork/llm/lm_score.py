@@ -269,7 +269,8 @@ def _read(buf: np.ndarray, offs: np.ndarray, m: dict) -> list[pa.Array]:
     sent = n >= 0
     logs = np.where(sent, np.log10(np.maximum(n, 0) + 0.1), 0.0)
     tail = np.flatnonzero(number >= k)
-    tails = np.bincount(doc[tail], weights=logs[tail] - m["log_tails"][number[tail] - k], minlength=size)
+    sums = lambda at, weights: np.bincount(at, weights=weights, minlength=size).astype(np.float64)  # noqa: E731  (of nothing numpy makes whole numbers)
+    tails = sums(doc[tail], logs[tail] - m["log_tails"][number[tail] - k])
     # words that weren't sent, with their number in each text
     at = np.flatnonzero(~sent)
     at = at[np.lexsort((h[at], doc[at]))]
@@ -279,7 +280,7 @@ def _read(buf: np.ndarray, offs: np.ndarray, m: dict) -> list[pa.Array]:
     rest = pa.StructArray.from_arrays([tb.as_long(h[at[first]]), pa.array(np.diff(np.append(first, len(at))))], ["word", "n"])
     bounds = np.searchsorted(doc[at[first]], np.arange(size + 1)).astype(np.int32)
     numbers = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer((offs * NUMBER.itemsize).astype(np.int32)), pa.py_buffer(number.astype(NUMBER))])
-    return [numbers, pa.array(np.diff(offs)), pa.array(np.bincount(doc[sent], minlength=size)), pa.array(np.bincount(doc, weights=logs, minlength=size)), pa.array(tails), pa.ListArray.from_arrays(pa.array(bounds), rest)]
+    return [numbers, pa.array(np.diff(offs)), pa.array(np.bincount(doc[sent], minlength=size)), pa.array(sums(doc, logs)), pa.array(tails), pa.ListArray.from_arrays(pa.array(bounds), rest)]
 
 
 def read(rows: DataFrame, model: dict) -> DataFrame:
