@@ -17,7 +17,8 @@ tables and relax the states that they reach.
   segmentation whose neighbours all may follow each other is the one that merging the whole text
   gives, and each prefix has exactly one, so one state per position is ever finite.
 
-Texts are cut where no piece reaches across, and paths of the parts are kept in a bounded table.
+Texts are cut where no piece reaches across, and paths of the parts are kept in a bounded table, from
+which a full one keeps what was used most.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ from gleanwork.llm.shared import without
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Parts and pairs of pieces that a process remembers; the tables are emptied when full.
-KEPT_PARTS, KEPT_PAIRS = 800_000, 500_000
+#: Parts and pairs of pieces that a process remembers. When full, the table of parts keeps at most AGAIN of those that were
+#: used more than once, the most used first, and that of pairs is emptied. Memory only: ids don't depend on them.
+KEPT_PARTS, AGAIN, KEPT_PAIRS = 200_000, 60_000, 400_000
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Weight of a character without a piece, beyond the worst piece (of a unigram model).
@@ -125,6 +127,7 @@ class Transducer:
                 self.prefix, self.trim = bool(f.get(3, 1)), bool(f.get(4, 1))
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER)}
         self.rank = {p: self.scores[i] for p, i in self.ids.items()}
+        self.own = {p: p for p in self.ids}
         self.type = kind or self.type
         self.arcs = _tree(self.ids)
         self.gains = self.type == UNIGRAM and any(s > 0 for s in self.scores)
@@ -139,16 +142,26 @@ class Transducer:
         self.lengths = np.array([len(r) for r in raw], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(raw), np.uint8)
-        self._forget()
+        self.known: dict[str, int] = {}  # by words as they stand in a text
+        self.known_parts: dict[str, int] = {}
+        self.ids_of_paths, self.ends_of_paths = array("i"), array("q")
+        self.uses = np.zeros(0, np.int64)
 
     def _bytes(self, i: int) -> bytes:
         kind, piece = self.kinds[i], self.pieces[i]
         return b"" if kind == CONTROL else bytes([int(piece[3:5], 16)]) if kind == BYTE else " ⁇ ".encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}  # by words as they stand in a text
-        self.known_parts: dict[str, int] = {}
-        self.ids_of_paths, self.ends_of_paths = array("i"), array("q")
+        """Keep the parts that were used most; what they were used before counts half from now on."""
+        uses = self.uses
+        keep = np.flatnonzero(uses > 1)
+        keep = np.sort(keep[np.argsort(-uses[keep], kind="stable")[:AGAIN]])
+        ids, n = self._gather(keep, np.arange(len(keep) + 1))
+        at = np.full(len(uses), -1)
+        at[keep] = np.arange(len(keep))
+        new = at.tolist()
+        self.known, self.known_parts = ({part: new[i] for part, i in table.items() if new[i] >= 0} for table in (self.known, self.known_parts))
+        self.ids_of_paths, self.ends_of_paths, self.uses = array("i", ids.tobytes()), array("q", np.cumsum(n).tobytes()), uses[keep] // 2
 
     def normalise(self, text: str) -> str:
         if self.map:
@@ -191,6 +204,7 @@ class Transducer:
             self.after.clear()
             self.n_pairs = 0
         self.n_pairs += 1
+        two = self.own.get(two, two)  # no copy of a piece for each before it
         found = self.after.setdefault(one, {})[two] = self.merged(one + two) == ([one, two] if one else [two])
         return found
 
@@ -283,7 +297,11 @@ class Transducer:
         out, sizes, at, bounds = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [], [0]
 
         def settle() -> None:
-            ids, n = self._gather(np.array(at, np.int64), np.array(bounds))
+            used = np.array(at, np.int64)
+            ids, n = self._gather(used, np.array(bounds))
+            uses = np.bincount(used, minlength=len(self.ends_of_paths))
+            uses[: len(self.uses)] += self.uses
+            self.uses = uses
             out.append(ids)
             sizes.append(n)
             at.clear()

@@ -66,6 +66,27 @@ def test_same_ids_as_the_library(machine, spark):
         assert machine.decode(ids[offs[i] : offs[i + 1]].tolist()) == lib.decode(ids[offs[i] : offs[i + 1]].tolist())
 
 
+def test_tables_of_parts_are_bounded_and_keep_what_is_used_again(machine, monkeypatch):
+    with open(pieces.MODEL, "rb") as f:
+        small = pieces.Transducer(f.read())
+    digits = "0123456789abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(digits[n // 36**k % 36] for k in range(4)) for n in range(230_000)]
+    texts = [" ".join(["some words come again", *words[i : i + 1000], "\nand  blanks"]) for i in range(0, len(words), 1000)]
+    small.encode_all(texts)  # the tables as they are in use
+    assert len(small.ends_of_paths) < 202_000 and len(small.known) + len(small.known_parts) == len(small.ends_of_paths)
+    monkeypatch.setattr(pieces, "KEPT_PARTS", 3000)
+    for again in (0, 2, 500):
+        monkeypatch.setattr(pieces, "AGAIN", again, raising=False)
+        for some in (texts[:9], texts[3:7], ["", "come again"], texts[:2] * 3):
+            ids, offs = small.encode_all(some)
+            for i, t in enumerate(some):
+                assert ids[offs[i] : offs[i + 1]].tolist() == machine.encode(t)
+    plain = [" ".join(["some words", *words[i : i + 1000]]) for i in range(0, 9000, 1000)]
+    small.encode_all(plain)
+    small.encode_all([" ".join(words[i : i + 1000]) for i in range(10_000, 13_000, 1000)] + ["x"])
+    assert "some" in small.known and "words" in small.known and len(small.ends_of_paths) < 4100
+
+
 def test_round_trip(spark):
     assert run(spark, "op1_sentencepiece").where("not round_trip").count() == 0
 
