@@ -151,9 +151,9 @@ def streams(words: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(words)
     side = min(STREAMS, max(1, n // (STEPS * 64)))
     steps = -(-n // side)
-    x, y = np.full(side * steps, end, words.dtype), np.full(side * steps, -1, words.dtype)
-    x[1:n], y[:n] = words[:-1], words
-    return x.reshape(side, steps).T, y.reshape(side, steps).T
+    x, y = np.full(side * steps + 1, end, words.dtype), np.full(side * steps, -1, words.dtype)
+    x[1 : n + 1], y[:n] = words, words
+    return x[:-1].reshape(side, steps).T, y.reshape(side, steps).T
 
 
 def _less(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
