@@ -18,7 +18,8 @@ tables and relax the states that they reach.
   gives, and each prefix has exactly one, so one state per position is ever finite.
 
 Texts are cut where no piece reaches across, and paths of the parts are kept in a bounded table, from
-which a full one keeps what was used most.
+which a full one keeps what was used most. Parts that aren't there wait and are composed and relaxed together
+(``paths``): one position of all of them at a time, in arrays. Long parts go one by one (``lattice``).
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Parts and pairs of pieces that a process remembers. When full, the table of parts keeps at most AGAIN of those that were
 #: used more than once, the most used first, and that of pairs is emptied. Memory only: ids don't depend on them.
 KEPT_PARTS, AGAIN, KEPT_PAIRS = 200_000, 60_000, 400_000
+#: Parts relaxed together, and the characters of the longest of them.
+TOGETHER, LONG = 4096, 64
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Weight of a character without a piece, beyond the worst piece (of a unigram model).
@@ -107,6 +110,73 @@ def _tree(ids: dict[str, int]) -> dict[str, tuple[dict, int]]:
     return start
 
 
+class Table:
+    """Numbers from 0 by keys from 0: open addressing in arrays of ``1 << bits`` slots, never to be full."""
+
+    def __init__(self, bits: int):
+        self.keys, self.values = np.full(1 << bits, -1), np.zeros(1 << bits, np.int32)
+        self.shift, self.n = np.uint64(64 - bits), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values of the keys; -1 where there is none."""
+        at = self._slots(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], -1)
+        todo = np.flatnonzero((found != keys) & (found >= 0))
+        at, keys = at[todo], keys[todo]
+        while len(todo):
+            at = (at + 1) & (len(self.keys) - 1)
+            found = self.keys[at]
+            here = found == keys
+            out[todo[here]] = self.values[at[here]]
+            more = ~here & (found >= 0)
+            todo, at, keys = todo[more], at[more], keys[more]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add different keys that aren't there."""
+        self.n += len(keys)
+        at = self._slots(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            here = self.keys[at] == keys
+            self.values[at[here]] = values[here]
+            at, keys, values = (at[~here] + 1) & (len(self.keys) - 1), keys[~here], values[~here]
+
+    def clear(self) -> None:
+        self.keys.fill(-1)
+        self.n = 0
+
+
+class Places(dict):
+    """Places of parts in the table of paths. One that isn't there gets the next place, and what ``spell`` makes of
+    it waits for its path."""
+
+    def __init__(self, machine: Transducer, spell, items=()):
+        super().__init__(items)
+        self.machine, self.spell = machine, spell
+
+    def __missing__(self, part: str) -> int:
+        m = self.machine
+        self[part] = at = len(m.ends_of_paths) + len(m.ends_of_waiting)
+        m.waiting += self.spell(part)
+        m.ends_of_waiting.append(len(m.waiting))
+        return at
+
+
+def _as_word(word: str) -> tuple[str, ...]:
+    """Normalised parts of a word as it stands in a text, a line's first one with the line end."""
+    return ("\n", word[1:]) if word[:1] == "\n" else (MARK + word,)
+
+
+def _as_part(part: str) -> tuple[str, ...]:
+    return (part,)
+
+
 class Transducer:
     """A compiled model."""
 
@@ -142,11 +212,38 @@ class Transducer:
         self.lengths = np.array([len(r) for r in raw], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(raw), np.uint8)
-        self.known: dict[str, int] = {}  # by words as they stand in a text
-        self.known_parts: dict[str, int] = {}
+        self._number()
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known = Places(self, _as_word)  # by words as they stand in a text
+        self.known_parts = Places(self, _as_part)
+        self.waiting, self.ends_of_waiting = [], []  # normalised parts whose paths are not known yet
         self.ids_of_paths, self.ends_of_paths = array("i"), array("q")
         self.uses = np.zeros(0, np.int64)
 
+    def _number(self) -> None:
+        """The tree in arrays: states from 1 on (0 is the start) by state and class of character. What an arc writes has
+        a symbol: 0 nothing yet, then the pieces, then characters without a piece."""
+        chars = sorted({c for p in self.ids for c in p})
+        self.classes = np.zeros(0x110000, np.int32)  # 0: in no piece
+        self.classes[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.n_classes = len(chars) + 1
+        cls = {c: k for k, c in enumerate(chars, 1)}
+        trees, writes, keys = [self.arcs], [-1], []
+        for state, arcs in enumerate(trees):  # grows
+            for char, (below, piece_id) in arcs.items():
+                keys.append(state * self.n_classes + cls[char])
+                trees.append(below)
+                writes.append(piece_id)
+        self.steps = Table(max(4, (4 * len(keys)).bit_length()))
+        self.steps.put(np.array(keys, np.int64), np.arange(1, len(trees)))
+        self.writes, self.inner = np.array(writes, np.int64), np.array([bool(t) for t in trees])
+        self.first = self.steps.get(np.arange(self.n_classes))
+        self.n_symbols = 1 + len(self.pieces) + 0x110000
+        self.pairs = Table(20)  # whether a symbol may follow another
+        self.costs = np.array([UNKNOWN_WEIGHT - self.worst, *(-s for s in self.scores)])  # by symbol, 0 for those without a piece
+
     def _bytes(self, i: int) -> bytes:
         kind, piece = self.kinds[i], self.pieces[i]
         return b"" if kind == CONTROL else bytes([int(piece[3:5], 16)]) if kind == BYTE else " ⁇ ".encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode()
@@ -160,7 +257,7 @@ class Transducer:
         at = np.full(len(uses), -1)
         at[keep] = np.arange(len(keep))
         new = at.tolist()
-        self.known, self.known_parts = ({part: new[i] for part, i in table.items() if new[i] >= 0} for table in (self.known, self.known_parts))
+        self.known, self.known_parts = (Places(self, t.spell, ((part, new[i]) for part, i in t.items() if new[i] >= 0)) for t in (self.known, self.known_parts))
         self.ids_of_paths, self.ends_of_paths, self.uses = array("i", ids.tobytes()), array("q", np.cumsum(n).tobytes()), uses[keep] // 2
 
     def normalise(self, text: str) -> str:
@@ -251,6 +348,103 @@ class Transducer:
         ids = self.ids
         return [i for piece in self.lattice(part) for i in ([ids[piece]] if piece in ids else self._fallback(piece))]
 
+    def _symbol(self, symbol: int) -> str:
+        return "" if not symbol else self.pieces[symbol - 1] if symbol <= len(self.pieces) else chr(symbol - 1 - len(self.pieces))
+
+    def _may_follow(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """``follows`` of symbols."""
+        keys = one * self.n_symbols + two
+        out = self.pairs.get(keys)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            asked, which = np.unique(keys[new], return_inverse=True)
+            found = []
+            for a, b in zip(*(x.tolist() for x in np.divmod(asked, self.n_symbols)), strict=True):
+                a, b = self._symbol(a), self._symbol(b)
+                found.append(self.merged(a + b) == ([a, b] if a else [b]))
+            if self.pairs.n + len(asked) > KEPT_PAIRS:
+                self.pairs.clear()
+            self.pairs.put(asked, np.array(found, np.int32))
+            out[new] = np.array(found, np.int32)[which]
+        return out > 0
+
+    def paths(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the shortest paths of normalised parts one after another, and their number for each part.
+
+        The same paths as ``path`` gives. A state's number is its character's place plus its part's."""
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        if (size > LONG).any():
+            short = size <= LONG
+            some, n_short = self.paths([p for p in parts if len(p) <= LONG])
+            long = [self.path(p) for p in parts if len(p) > LONG]
+            n = np.empty(len(parts), np.int64)
+            n[short], n[~short] = n_short, [len(ids) for ids in long]
+            out, which = np.empty(n.sum(), np.int32), np.repeat(short, n)
+            out[which], out[~which] = some, [i for ids in long for i in ids]
+            return out, n
+        code = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        char, count, own = self.classes[code], len(code), np.arange(len(parts))
+        ends = np.cumsum(size)
+        starts = ends - size
+        part, end = np.repeat(own, size), np.repeat(ends, size)
+        # composition: the arcs of all states, walked through the tree by one more character at a time
+        at, state = np.arange(count), self.first[char]
+        piece = np.where(state < 0, -1, self.writes[state])
+        arcs = [(at, at + 1, np.where(piece < 0, len(self.pieces) + code, piece) + 1)]
+        for depth in range(1, LONG):
+            more = (state >= 0) & self.inner[state] & (at + depth < end[at])
+            at, state = at[more], state[more].astype(np.int64)
+            if not len(at):
+                break
+            state = self.steps.get(state * self.n_classes + char[at + depth])
+            piece = np.where(state < 0, -1, self.writes[state])
+            full = piece >= 0
+            arcs.append((at[full], at[full] + depth + 1, piece[full] + 1))
+        before, behind, symbol = (np.concatenate(x) for x in zip(*arcs, strict=True))
+        step = (before - starts[part[before]]).astype(np.uint8)
+        order = np.argsort(step, kind="stable")
+        before, behind, symbol = before[order], behind[order], symbol[order]
+        behind += part[before]
+        before += part[before]
+        # relaxation: the arcs that leave the parts' states at one position, together
+        starts, ends = starts + own, ends + own
+        last, back = np.full(count + len(parts), -1), np.repeat(starts, size + 1)
+        last[starts] = 0
+        weight = np.where(last < 0, INFINITY, 0.0)
+        upto = np.cumsum(np.bincount(step)).tolist()
+        for lo, hi in zip([0, *upto], upto):  # noqa: B905
+            a, b, s = before[lo:hi], behind[lo:hi], symbol[lo:hi]
+            if self.type == BPE:
+                open_ = (last[b] < 0) & (last[a] >= 0)
+                a, b, s = a[open_], b[open_], s[open_]
+                better = self._may_follow(last[a], s)
+                a, b, s = a[better], b[better], s[better]
+            else:
+                w = weight[a] + self.costs[np.where(s > len(self.pieces), 0, s)]
+                better = w < weight[b]
+                a, b, s = a[better], b[better], s[better]
+                weight[b] = w[better]
+            last[b], back[b] = s, a
+        on, at, first = np.zeros(len(last), bool), ends, starts
+        while len(at):
+            on[at] = True
+            more = at != first
+            at, first = back[at[more]], first[more]
+        at = np.flatnonzero(on & (last > 0))
+        return self._spelled(last[at] - 1, np.repeat(own, size + 1)[at], len(parts))
+
+    def _spelled(self, ids: np.ndarray, part: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with the bytes of characters without a piece, and their number for each part."""
+        bare = ids >= len(self.pieces)
+        if bare.any():
+            codes, which = np.unique(ids[bare] - len(self.pieces), return_inverse=True)
+            spelled = [self._fallback(chr(c)) for c in codes.tolist()]
+            n = np.ones(len(ids), np.int64)
+            n[bare] = np.array([len(x) for x in spelled])[which]
+            ids, part, bare = np.repeat(ids, n), np.repeat(part, n), np.repeat(bare, n)
+            ids[bare] = [i for k in which.tolist() for i in spelled[k]]
+        return ids.astype(np.int32), np.bincount(part, minlength=n_parts)
+
     def _fallback(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode()] if self.byte else [self.unknown]
 
@@ -263,31 +457,22 @@ class Transducer:
 
     def indexes(self, text: str) -> list[int]:
         """Positions in ``paths`` of the text's parts."""
-        known = self.known
         if self.cuts and self.prefix and not self.trim and not self.map:
             # a word stands for itself with a mark before it, a line's first word for itself with the line end
             flat = text.replace("\n", " \n")
             if flat and flat[0] != " " and flat[-1] != " " and "  " not in flat and MARK not in flat:
-                words = flat.split(" ")
-                got = list(map(known.get, words))
-                if None in got:
-                    for k, i in enumerate(got):
-                        if i is None:
-                            w = words[k]
-                            got[k] = known[w] if w in known else self._learn(known, w, [self.path("\n"), self.path(w[1:])] if w[0] == "\n" else [self.path(MARK + w)])
-                return got
-        got = []
-        for part in self._parts(text):
-            at = self.known_parts.get(part)
-            got.append(self._learn(self.known_parts, part, [self.path(part)]) if at is None else at)
-        return got
-
-    def _learn(self, known: dict[str, int], key: str, paths: list[list[int]]) -> int:
-        known[key] = at = len(self.ends_of_paths)
-        for p in paths:
-            self.ids_of_paths.extend(p)
-        self.ends_of_paths.append(len(self.ids_of_paths))
-        return at
+                return list(map(self.known.__getitem__, flat.split(" ")))
+        return list(map(self.known_parts.__getitem__, self._parts(text)))
+
+    def _learn(self) -> None:
+        """Paths of the parts that wait."""
+        for lo in range(0, len(self.ends_of_waiting), TOGETHER):
+            ends = [lo and self.ends_of_waiting[lo - 1], *self.ends_of_waiting[lo : lo + TOGETHER]]
+            ids, n = self.paths(self.waiting[ends[0] : ends[-1]])
+            upto = len(self.ids_of_paths) + np.cumsum(n)
+            self.ids_of_paths.frombytes(ids.tobytes())
+            self.ends_of_paths.frombytes(upto[np.array(ends[1:]) - ends[0] - 1].tobytes())
+        self.waiting, self.ends_of_waiting = [], []
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0].tolist()
@@ -297,6 +482,7 @@ class Transducer:
         out, sizes, at, bounds = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [], [0]
 
         def settle() -> None:
+            self._learn()
             used = np.array(at, np.int64)
             ids, n = self._gather(used, np.array(bounds))
             uses = np.bincount(used, minlength=len(self.ends_of_paths))
@@ -307,13 +493,17 @@ class Transducer:
             at.clear()
             bounds[:] = [0]
 
-        for text in texts:
-            if len(self.ends_of_paths) >= KEPT_PARTS:
-                settle()
-                self._forget()
-            at += self.indexes(text)
-            bounds.append(len(at))
-        settle()
+        try:
+            for text in texts:
+                if len(self.ends_of_paths) + len(self.ends_of_waiting) >= KEPT_PARTS:
+                    settle()
+                    self._forget()
+                at += self.indexes(text)
+                bounds.append(len(at))
+            settle()
+        except BaseException:
+            self._empty()  # places without paths
+            raise
         return np.concatenate(out), np.cumsum(np.concatenate(sizes))
 
     def _gather(self, at: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -87,6 +87,44 @@ def test_tables_of_parts_are_bounded_and_keep_what_is_used_again(machine, monkey
     assert "some" in small.known and "words" in small.known and len(small.ends_of_paths) < 4100
 
 
+def test_waiting_parts_are_relaxed_together(machine, monkeypatch):
+    """Only parts longer than LONG go through the lattice one by one, and all have the path that it gives."""
+    r = random.Random(3)
+    some = ["th", "in", "ing", "e", "er", "an", "é", "日", "😀", "▁", "1", "7f", "ß", "क्", "\0", "%%%", "\t"]
+    words = ["".join(r.choice(some) for _ in range(r.randint(1, 40))) for _ in range(3000)] + ["x" * n for n in (63, 64, 65, 200)] + ["", "\n"]
+    with open(pieces.MODEL, "rb") as f:
+        model = f.read()
+    for kind in (pieces.BPE, pieces.UNIGRAM):
+        one = pieces.Transducer(model, kind)
+        want = [one.path(w) for w in words]
+        for pairs in (400_000, 50):
+            monkeypatch.setattr(pieces, "KEPT_PAIRS", pairs)
+            m = pieces.Transducer(model, kind)
+            for step in (1, 700, len(words)):
+                for lo in range(0, len(words), step) if step > 1 else range(40):
+                    ids, n = m.paths(words[lo : lo + step])
+                    ends = np.cumsum(n)
+                    assert [ids[e - k : e].tolist() for e, k in zip(ends, n, strict=True)] == want[lo : lo + step]
+    calls = []
+    path = pieces.Transducer.path
+    monkeypatch.setattr(pieces.Transducer, "path", lambda self, part: calls.append(part) or path(self, part))
+    m = pieces.Transducer(model)
+    texts = ["the theory of\neverything " + "y" * 65, "thsting onnt\n\nantiea  eredat " * 50]
+    ids, offs = m.encode_all(texts)
+    assert calls == ["▁" + "y" * 65]
+    assert [ids[offs[i] : offs[i + 1]].tolist() for i in range(2)] == [machine.encode(t) for t in texts]
+
+
+def test_a_failed_batch_leaves_no_places_without_paths(monkeypatch):
+    with open(pieces.MODEL, "rb") as f:
+        m = pieces.Transducer(f.read())
+    want = m.encode("some words")
+    with monkeypatch.context() as c, pytest.raises(ZeroDivisionError):
+        c.setattr(m, "paths", lambda parts: 1 / 0)
+        m.encode("other words")
+    assert m.encode("some words") == want and m.decode(m.encode("other words")) == "other words"
+
+
 def test_round_trip(spark):
     assert run(spark, "op1_sentencepiece").where("not round_trip").count() == 0
 
